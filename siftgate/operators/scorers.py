@@ -22,13 +22,14 @@ Inputs = Mapping[str, Column]
 
 @dataclass(frozen=True)
 class Scorer:
-    """prepare: columns computed once in a projection of their own before `score` uses
-    them as inputs, for expressions that `score` needs in several places."""
+    """prepare: steps whose columns are computed in projections of their own, one after
+    the other, and join the inputs. For expressions used in several places, which would
+    otherwise be evaluated once per use."""
 
     id: str
     version: str
     score: Callable[[Inputs], Column]
-    prepare: Callable[[Inputs], Mapping[str, Column]] | None = None
+    prepare: Sequence[Callable[[Inputs], Mapping[str, Column]]] = ()
 
 
 def outcome(
@@ -109,7 +110,10 @@ def wordlist_scorer(entries: Sequence[Entry], scorer_id: str = "text-risk-wordli
         lambda i: outcome(
             severity_score(i["matched"]), "wordlist-match", details={"matched_words": i["matched"]}
         ),
-        lambda i: {"matched": matched_in(match_text(i["ocr_text"]), entries)},
+        [
+            lambda i: {"normal": match_text(i["ocr_text"])},
+            lambda i: {"matched": matched_in(i["normal"], entries)},
+        ],
     )
 
 
@@ -158,7 +162,7 @@ def python_scorer(
         scorer_id,
         version,
         lambda i: outcome(i["result"]["score"], reason, i["result"]["error"]),
-        lambda i: {"result": run(*[i[name] for name in inputs])},
+        [lambda i: {"result": run(*[i[name] for name in inputs])}],
     )
 
 
@@ -228,22 +232,37 @@ def layer_inputs(items: DataFrame) -> DataFrame:
     )
 
 
+PARTS = ("score", "reason", "error", "details")
+
+
 def score_layers(items: DataFrame, slots: Mapping[str, Scorer], unless: Column | None = None) -> DataFrame:
-    """Add one outcome column per layer, named after the layer.
+    """Add the outcome of each layer as columns <layer>_score, _reason, _error, _details.
 
-    Inputs of skipped rows are null; their outcomes are meaningless and must be masked by
-    the caller. Batch scorers are evaluated for every row of a conditional, so masking
-    the inputs is what saves their work.
+    Flat columns, as the optimizer would copy the expression behind a struct field into
+    every place that reads it. Inputs of skipped rows are null; their outcomes are
+    meaningless and must be masked by the caller. Batch scorers are evaluated for every
+    row of a conditional, so masking the inputs is what saves their work.
     """
-    prepared: dict[str, dict[str, Column]] = {}
-    extra: dict[str, Column] = {}
+    inputs = {layer: route(layer, unless) for layer in LAYERS}
+    ready, temporary = items, []
+    for step in range(max(len(slots[layer].prepare) for layer in LAYERS)):
+        added: dict[str, Column] = {}
+        for layer in LAYERS:
+            if step < len(slots[layer].prepare):
+                for name, value in slots[layer].prepare[step](inputs[layer]).items():
+                    added[f"__{layer}_{name}"] = value
+                    inputs[layer][name] = F.col(f"__{layer}_{name}")
+        ready = ready.withColumns(added)
+        temporary += added
+    outcomes = {}
     for layer in LAYERS:
-        inputs = route(layer, unless)
-        if slots[layer].prepare:
-            for name, value in slots[layer].prepare(inputs).items():
-                extra[f"__{layer}_{name}"] = value
-                inputs[name] = F.col(f"__{layer}_{name}")
-        prepared[layer] = inputs
-    ready = items.withColumns(extra) if extra else items
-    outcomes = {layer: slots[layer].score(prepared[layer]) for layer in LAYERS}
-    return ready.withColumns(outcomes).drop(*extra)
+        out = slots[layer].score(inputs[layer])
+        outcomes.update({f"{layer}_{part}": out[part] for part in PARTS})
+    return ready.withColumns(outcomes).drop(*temporary)
+
+
+def pack_layers() -> list[Column]:
+    """The flat layer columns as one struct column per layer."""
+    return [
+        F.struct(*[F.col(f"{layer}_{part}").alias(part) for part in PARTS]).alias(layer) for layer in LAYERS
+    ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from siftgate.operators.fusion import (
     placeholder,
     score_to_action,
 )
-from siftgate.operators.scorers import Scorer, default_slots, score_layers
+from siftgate.operators.scorers import PARTS, Scorer, default_slots, pack_layers, score_layers
 from siftgate.plans.joins import is_small, lookup_join
 from siftgate.plans.preprocess import preprocess_status, with_facts
 from siftgate.plans.scratch import written
@@ -30,14 +31,14 @@ RESULT = (
 )
 
 
-def _mask_skipped(layer: str, hit: Column) -> Column:
-    out = F.col(layer)
-    return F.struct(
-        F.when(hit, F.lit(DEFAULT_SCORE)).otherwise(out["score"]).alias("score"),
-        F.when(hit, "skipped-blocklist").otherwise(out["reason"]).alias("reason"),
-        F.when(~hit, out["error"]).alias("error"),
-        F.when(~hit, out["details"]).alias("details"),
-    ).alias(layer)
+def _mask_skipped(layer: str, hit: Column) -> list[Column]:
+    score, reason, error, details = (F.col(f"{layer}_{part}") for part in PARTS)
+    return [
+        F.when(hit, F.lit(DEFAULT_SCORE)).otherwise(score).alias(f"{layer}_score"),
+        F.when(hit, "skipped-blocklist").otherwise(reason).alias(f"{layer}_reason"),
+        F.when(~hit, error).alias(f"{layer}_error"),
+        F.when(~hit, details).alias(f"{layer}_details"),
+    ]
 
 
 def screen(
@@ -64,11 +65,12 @@ def screen(
     fits = is_small(blocklist) if blocklist_fits is None else blocklist_fits
     if fits:
         looked = blocklist_lookup(facts, blocklist, fits=True)
-        scored = score_layers(looked, slots, unless=hit).select(*slim, *found, *LAYERS)
+        scored = score_layers(looked, slots, unless=hit)
     else:
-        layers = score_layers(facts, slots).select(*slim, *LAYERS)
+        outcomes = [f"{layer}_{part}" for layer in LAYERS for part in PARTS]
+        layers = score_layers(facts, slots).select(*slim, *outcomes)
         scored = blocklist_lookup(layers, blocklist, fits=False)
-    scored = scored.select(*slim, *found, *[_mask_skipped(layer, hit) for layer in LAYERS])
+    scored = scored.select(*slim, *found, *[c for layer in LAYERS for c in _mask_skipped(layer, hit)])
     if cancel_requests is None:
         scored = scored.withColumn("__cancel", F.lit(None).cast("string")).withColumn("__stop", F.lit(False))
     else:
@@ -78,13 +80,13 @@ def screen(
         scored = lookup_join(scored, asked, ["item_id"], "left", ["item_id"])
 
     def threw(layer: str) -> Column:
-        return F.concat(F.lit(f"{slots[layer].id} threw: "), F.col(layer)["error"])
+        return F.concat(F.lit(f"{slots[layer].id} threw: "), F.col(f"{layer}_error"))
 
     failure = F.coalesce(*[threw(layer) for layer in LAYERS])
     failed = ~hit & failure.isNotNull()
     stopped = ~hit & ~failed & F.coalesce("__stop", F.lit(False))
     fast_score, fast_action = fuse_fast_path(config)
-    score = fusion_score({layer: clamp_unit(F.col(layer)["score"]) for layer in LAYERS}, config)
+    score = fusion_score({layer: clamp_unit(F.col(f"{layer}_score")) for layer in LAYERS}, config)
     held = placeholder("cancelled-before-fusion")
     fused = scored.select(
         "*",
@@ -99,7 +101,15 @@ def screen(
         .when(F.col("terminal_state") == "cancelled", held["action"])
         .when(F.col("terminal_state") == "done", score_to_action(F.col("score"), config))
     )
-    return fused.withColumn("action", action).select(*RESULT)
+    names = [c for c in RESULT if c not in LAYERS]
+    result = fused.withColumn("action", action).select(*names, *pack_layers()).select(*RESULT)
+    # Counts of the run. Observing them also keeps a filter on the result above the
+    # computation: pushed below, it would repeat every expression it depends on.
+    return result.observe(
+        f"screened-{uuid.uuid4().hex}",
+        F.count(F.lit(1)).alias("items"),
+        F.count("hit_kind").alias("blocked"),
+    )
 
 
 def rescreen(items: DataFrame, done: DataFrame, blocklist: DataFrame, **options) -> DataFrame:

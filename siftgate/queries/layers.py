@@ -26,6 +26,7 @@ from siftgate.operators.scorers import (
     default_slots,
     layer_inputs,
     native_scorer,
+    pack_layers,
     python_scorer,
     score_layers,
 )
@@ -233,7 +234,8 @@ def layer_inputs_query(spark, sf_dir):
 
 
 def scored(spark, sf_dir, **slots):
-    return score_layers(conversation_items(spark, sf_dir), default_slots(**slots))
+    flat = score_layers(conversation_items(spark, sf_dir), default_slots(**slots))
+    return flat.select("item_id", *pack_layers())
 
 
 @query(
@@ -319,4 +321,5 @@ def digit_share(text: pd.Series) -> pd.Series:
 )
 def custom_scorer_query(spark, sf_dir):
     slots = default_slots(text_risk=python_scorer("digits", digit_share, ["ocr_text"], "digit-share"))
-    return score_layers(items(spark, sf_dir), slots).select("item_id", "text_risk.score", "text_risk.reason")
+    flat = score_layers(items(spark, sf_dir), slots)
+    return flat.select("item_id", F.col("text_risk_score").alias("score"), F.col("text_risk_reason").alias("reason"))
