@@ -178,15 +178,20 @@ def _match_large(normalised: DataFrame, wordlist: DataFrame, case_sensitive: boo
 
 def match_rows(matched: DataFrame, item: str = "item_id") -> DataFrame:
     """One row per item and matched entry."""
-    return matched.select(item, F.explode("matched").alias("m")).select(
-        item,
-        "m.word",
-        "m.category",
-        "m.severity",
-        F.col("m.span.start").alias("start"),
-        F.col("m.span.end").alias("end"),
-        "m.match",
+    # Exploding an expression, not the bare column: for a column the optimizer adds a
+    # filter on its size and, pushing that down, computes the matches a second time.
+    flat = F.transform(
+        "matched",
+        lambda m: F.struct(
+            m["word"].alias("word"),
+            m["category"].alias("category"),
+            m["severity"].alias("severity"),
+            m["span"]["start"].alias("start"),
+            m["span"]["end"].alias("end"),
+            m["match"].alias("match"),
+        ),
     )
+    return matched.select(item, F.inline(flat))
 
 
 def match_category_counts(matched: DataFrame) -> DataFrame:
