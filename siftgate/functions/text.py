@@ -13,13 +13,19 @@ _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_ASCII_SPACES = "\t\n\x0b\f\r "
+# Characters that need the full treatment: wide forms and whitespace outside ASCII.
+_UNUSUAL = r"[\x{FF01}-\x{FF5E}" + WHITESPACE.split(r"\x20")[1]
+_WIDE_FORM = r"[\x{FF01}-\x{FF5E}\x{3000}]"
+
+
 def _is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
 
 def fullwidth_to_halfwidth(c: Column) -> Column:
-    """Map wide ASCII forms and the wide space down; pure ASCII text passes untouched."""
-    return F.when(_is_ascii(c), c).otherwise(F.translate(c, _WIDE, _NARROW))
+    """Map wide ASCII forms and the wide space down; text without any passes untouched."""
+    return F.when(_is_ascii(c) | ~c.rlike(_WIDE_FORM), c).otherwise(F.translate(c, _WIDE, _NARROW))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -35,6 +41,12 @@ def _map_characters(c: Column) -> Column:
     return F.when(_is_ascii(c), F.lower(c)).otherwise(F.translate(c, source, target))
 
 
+def _drop_ascii_spaces(c: Column) -> Column:
+    for space in _ASCII_SPACES:
+        c = F.replace(c, F.lit(space), F.lit(""))
+    return c
+
+
 def normalize(c: Column, mode: str = "collapse") -> Column:
     """Narrow wide forms, lower ASCII, then treat whitespace.
 
@@ -45,16 +57,25 @@ def normalize(c: Column, mode: str = "collapse") -> Column:
     if mode == "preserve":
         return mapped
     if mode == "strip":
-        return F.regexp_replace(mapped, WHITESPACE + "+", "")
+        return F.when(_is_ascii(c), _drop_ascii_spaces(F.lower(c))).otherwise(
+            F.regexp_replace(mapped, WHITESPACE + "+", "")
+        )
     if mode == "collapse":
         return F.trim(F.regexp_replace(mapped, WHITESPACE + "+", " "))
     raise ValueError(f"unknown whitespace mode: {mode}")
 
 
 def match_text(c: Column, case_sensitive: bool = False) -> Column:
-    """The text on which wordlist entries are searched and spans are counted."""
-    stripped = normalize(c, "strip")
-    return stripped if case_sensitive else F.lower(stripped)
+    """The text on which wordlist entries are searched and spans are counted.
+
+    Most texts hold neither wide forms nor whitespace outside ASCII; for them byte-wise
+    replacements do, without a regex pass. Lower-casing at the end covers the ASCII step.
+    """
+    if case_sensitive:
+        return normalize(c, "strip")
+    full = F.regexp_replace(F.translate(c, _WIDE, _NARROW), WHITESPACE + "+", "")
+    usual = _is_ascii(c) | ~c.rlike(_UNUSUAL)
+    return F.lower(F.when(usual, _drop_ascii_spaces(c)).otherwise(full))
 
 
 def text_windows(c: Column, size: int, overlap: int) -> Column:
@@ -71,10 +92,15 @@ def text_windows(c: Column, size: int, overlap: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(size))
     by_offset = F.transform(starts, lambda s: F.substring(c, s + 1, F.lit(size + overlap)))
     parts = F.regexp_extract_all(c, F.lit("(?s).{1,%d}" % size), F.lit(0))
-    by_pass = F.transform(
-        parts,
-        lambda part, j: F.concat(
-            part, F.coalesce(F.substring(F.get(parts, j + 1), 1, overlap), F.lit(""))
-        ),
-    )
-    return F.when(length <= 64 * size, by_offset).otherwise(by_pass)
+
+    def extend(cut: Column) -> Column:
+        return F.transform(
+            cut,
+            lambda part, j: F.concat(
+                part, F.coalesce(F.substring(F.get(cut, j + 1), 1, overlap), F.lit(""))
+            ),
+        )
+
+    # The parts are bound to a variable: written out, each window would cut the text anew.
+    by_pass = F.get(F.transform(F.array(parts), extend), F.lit(0))
+    return F.when(length <= 16 * size, by_offset).otherwise(by_pass)

@@ -264,5 +264,6 @@ def score_layers(items: DataFrame, slots: Mapping[str, Scorer], unless: Column |
 def pack_layers() -> list[Column]:
     """The flat layer columns as one struct column per layer."""
     return [
-        F.struct(*[F.col(f"{layer}_{part}").alias(part) for part in PARTS]).alias(layer) for layer in LAYERS
+        F.expr(f"struct({', '.join(f'{layer}_{part} AS {part}' for part in PARTS)}) AS {layer}")
+        for layer in LAYERS
     ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -17,6 +18,7 @@ LITERAL_PATTERNS = 64
 LITERAL_ANCHORS = 20_000
 ANCHOR_LENGTH = 6
 WINDOW = 256
+ANCHOR_WINDOW = 64
 
 _HIT = "array<struct<pattern:string,idx:int,times:int>>"
 
@@ -36,8 +38,8 @@ def _pattern_table(patterns: DataFrame, case_sensitive: bool) -> DataFrame:
     )
 
 
-def _windows(items: DataFrame, item: str, text: Column, longest: int) -> DataFrame:
-    size = max(WINDOW, longest)
+def _windows(items: DataFrame, item: str, text: Column, longest: int, size: int = WINDOW) -> DataFrame:
+    size = max(size, longest)
     return items.select(
         F.col(item), F.posexplode(text_windows(text, size, longest - 1)).alias("part", "window")
     ).select(item, (F.col("part") * size).alias("start"), "window", F.lit(size).alias("size"))
@@ -81,6 +83,24 @@ def find_exact_large(items: DataFrame, patterns: DataFrame, case_sensitive: bool
     return find_exact(items, patterns, case_sensitive, strategy="join", **names)
 
 
+def _positions(window: Column, word: str) -> Column:
+    """Where `word` occurs in a window that contains it, overlapping occurrences included.
+
+    The window is cut in front of every occurrence by one regex pass; the starts of the
+    pieces are the positions, so the work per window follows the number of hits.
+    """
+    quoted = re.sub(r"([^\w\s])", r"\\\1", word, flags=re.ASCII)
+    pieces = F.regexp_extract_all(window, F.lit(f"(?s).+?(?={quoted}|\\z)"), F.lit(0))
+    starts = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+        F.array(F.lit(0)),
+        lambda at, piece: F.concat(at, F.array(F.element_at(at, -1) + F.char_length(piece))),
+    )
+    return F.when(F.startswith(window, F.lit(word)), starts).otherwise(
+        F.slice(starts, F.lit(2), F.size(starts))
+    )
+
+
 def _report_at(at: Column, start: Column, pattern: str, times: int) -> Column:
     return F.transform(
         at,
@@ -107,17 +127,14 @@ def _find_literal(
     words = sorted(by_folded)
     longest = max(map(len, words))
     searched = items.select(item, _fold(F.col(text), case_sensitive).alias("__t"))
-    # Cheap substring tests in generated code drop texts, then windows, without a hit.
-    any_word = lambda c: reduce(lambda x, y: x | y, [F.contains(c, F.lit(w)) for w in words])
-    searched = searched.where(any_word(F.col("__t")))
-    windows = _windows(searched, item, F.col("__t"), longest).where(any_word(F.col("window")))
+    # Substring tests in generated code drop the windows without a hit. Tested per window,
+    # not per text: a filter on the folded text would fold it once per pattern.
+    in_window = [F.contains("window", F.lit(w)) for w in words]
+    windows = _windows(searched, item, F.col("__t"), longest).where(reduce(lambda x, y: x | y, in_window))
     window, start = F.col("window"), F.col("start")
 
     def hits_of(word: str) -> Column:
-        at = F.filter(
-            F.sequence(F.lit(0), F.least(F.col("size"), F.char_length(window)) - 1),
-            lambda i: F.substring(window, i + 1, F.lit(len(word))) == word,
-        )
+        at = F.filter(_positions(window, word), lambda i: i < F.col("size"))
         reports = [_report_at(at, start, pattern, times) for pattern, times in by_folded[word]]
         found = reports[0] if len(reports) == 1 else F.flatten(F.array(*reports))
         return F.when(F.contains(window, F.lit(word)), found).otherwise(F.array().cast(_HIT))
@@ -144,28 +161,27 @@ def _find_join(
     prefilter = few if len(few) <= LITERAL_ANCHORS else None
 
     searched = items.select(item, _fold(F.col(text), case_sensitive).alias("__t"))
-    windows = _windows(searched, item, F.col("__t"), shape.longest)
-    window = F.col("window")
-    positions = F.sequence(F.lit(0), F.least(F.col("size"), F.char_length(window)) - 1)
+    windows = _windows(searched, item, F.col("__t"), shape.longest, ANCHOR_WINDOW)
+    window, at = F.col("window"), F.col("at")
+    last = F.least(F.col("size"), F.char_length(window)) - 1
+    # One row per position, tested in generated code before anything is copied.
+    placed = windows.where(F.char_length(window) > 0).select(
+        item, "start", "window", F.explode(F.sequence(F.lit(0), last)).alias("at")
+    )
 
-    def candidates(k: int) -> Column:
-        gram = lambda i: F.substring(window, i + 1, F.lit(k))
-        at = positions
+    def candidates(k: int) -> DataFrame:
+        gram = F.substring(window, at + 1, F.lit(k))
+        hits = placed.where(F.char_length(window) - at >= k)
         if prefilter is not None:
-            of_length = [a for a in prefilter if len(a) == k]
-            at = F.filter(at, lambda i: gram(i).isin(of_length))
-        return F.transform(
-            at,
-            lambda i: F.struct(
-                (F.col("start") + i).cast("int").alias("idx"),
-                gram(i).alias("anchor"),
-                F.substring(window, i + 1, F.lit(shape.longest)).alias("rest"),
-            ),
+            hits = hits.where(gram.isin([a for a in prefilter if len(a) == k]))
+        return hits.select(
+            item,
+            (F.col("start") + at).cast("int").alias("idx"),
+            gram.alias("anchor"),
+            F.substring(window, at + 1, F.lit(shape.longest)).alias("rest"),
         )
 
-    grams = windows.where(F.char_length(window) > 0).select(
-        item, F.inline(F.flatten(F.array(*[candidates(k) for k in sorted(shape.ks)])))
-    )
+    grams = reduce(DataFrame.unionByName, [candidates(k) for k in sorted(shape.ks)])
     # An anchor shared by many patterns must not multiply positions by patterns: a
     # position fans out only to the distinct lengths its anchor occurs with, then each
     # piece meets the pattern table on the whole pattern.

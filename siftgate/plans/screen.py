@@ -31,13 +31,13 @@ RESULT = (
 )
 
 
-def _mask_skipped(layer: str, hit: Column) -> list[Column]:
-    score, reason, error, details = (F.col(f"{layer}_{part}") for part in PARTS)
+def _mask_skipped(layer: str) -> list[str]:
+    """The outcome columns of a layer with those of blocked items set to the placeholder."""
     return [
-        F.when(hit, F.lit(DEFAULT_SCORE)).otherwise(score).alias(f"{layer}_score"),
-        F.when(hit, "skipped-blocklist").otherwise(reason).alias(f"{layer}_reason"),
-        F.when(~hit, error).alias(f"{layer}_error"),
-        F.when(~hit, details).alias(f"{layer}_details"),
+        f"IF(hit_kind IS NULL, {layer}_score, {DEFAULT_SCORE}D) AS {layer}_score",
+        f"IF(hit_kind IS NULL, {layer}_reason, 'skipped-blocklist') AS {layer}_reason",
+        f"IF(hit_kind IS NULL, {layer}_error, NULL) AS {layer}_error",
+        f"IF(hit_kind IS NULL, {layer}_details, NULL) AS {layer}_details",
     ]
 
 
@@ -70,7 +70,7 @@ def screen(
         outcomes = [f"{layer}_{part}" for layer in LAYERS for part in PARTS]
         layers = score_layers(facts, slots).select(*slim, *outcomes)
         scored = blocklist_lookup(layers, blocklist, fits=False)
-    scored = scored.select(*slim, *found, *[c for layer in LAYERS for c in _mask_skipped(layer, hit)])
+    scored = scored.selectExpr(*slim, *found, *[c for layer in LAYERS for c in _mask_skipped(layer)])
     if cancel_requests is None:
         scored = scored.withColumn("__cancel", F.lit(None).cast("string")).withColumn("__stop", F.lit(False))
     else:

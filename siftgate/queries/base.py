@@ -13,6 +13,7 @@ from siftgate.operators.matching import Entry
 from siftgate.plans.scratch import written
 from siftgate.sources.blocklist import blocklist_entries
 from siftgate.sources.items import items_from
+from siftgate.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,14 +37,18 @@ def item_key():
     return F.col("doc_id").cast("string").alias("item_id")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id and text, the input of CPU-bound work on whole texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(item_key(), "text")
+    return documents(spark, sf_dir).select(item_key(), "text")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: their UTF-8 bytes are the content, their text the read text."""
-    docs = table(spark, sf_dir, "documents")
-    return document_items(docs)
+    return document_items(documents(spark, sf_dir))
 
 
 def document_items(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from siftgate.operators.blocklist import (
 from siftgate.operators.duplicates import exact_duplicates, near_duplicates
 from siftgate.operators.images import image_inventory
 from siftgate.plans.preprocess import preprocess_items
-from siftgate.queries.base import SQL_BLOCKLIST, SQL_PHASH, blocklist, item_key, items, query, table
+from siftgate.queries.base import SQL_BLOCKLIST, SQL_PHASH, blocklist, documents, item_key, items, query, table
 from siftgate.sources.items import items_from
 
 
@@ -26,7 +26,7 @@ def md5_fingerprint_query(spark, sf_dir):
 
 def prints(spark, sf_dir):
     content = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         item_key(), md5_hex(content).alias("md5"), byte_grid_hash(content).alias("phash")
     )
 
