@@ -41,24 +41,23 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 
 def read_audit(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
-    """Audit rows back from the lines. Lines that are no JSON are dropped, or kept with
-    their raw text in `_corrupt_record`."""
-    raw = spark.read.schema(f"{LINE_SCHEMA}, {CORRUPT} string").json(
-        path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    """Audit rows back from the lines. Lines that hold no audit record are dropped, or
+    kept with their raw text in `_corrupt_record`."""
+    line = spark.read.text(path).select("value", F.from_json("value", LINE_SCHEMA).alias("line"))
+    broken = F.col("line.message").isNull()
+    rows = line.select(
+        F.col("line.timestamp").alias("ts"),
+        "line.level",
+        "line.phase",
+        "line.message",
+        F.col("line.context.image_id").alias("item_id"),
+        "line.context.agent",
+        "line.context.score",
+        "line.context.reason",
+        "line.context.elapsed_ms",
+        F.when(broken, F.col("value")).alias(CORRUPT),
     )
-    rows = raw.select(
-        F.col("timestamp").alias("ts"),
-        "level",
-        "phase",
-        "message",
-        F.col("context.image_id").alias("item_id"),
-        "context.agent",
-        "context.score",
-        "context.reason",
-        "context.elapsed_ms",
-        CORRUPT,
-    )
-    return rows if keep_corrupt else rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows if keep_corrupt else rows.where(F.col("message").isNotNull()).drop(CORRUPT)
 
 
 def audit_line_count(audit: DataFrame, by: str = "item_id") -> DataFrame:

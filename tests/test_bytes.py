@@ -79,7 +79,7 @@ def test_lookup_prefers_md5_and_ignores_case(spark, fits):
     }
 
 
-@pytest.mark.parametrize("distance, hot", [(0, 2000), (1, 2000), (3, 2000), (3, 1), (4, 5), (6, 2000)])
+@pytest.mark.parametrize("distance, hot", [(0, 2000), (3, 2000), (3, 1), (6, 2000)])
 def test_near_pairs_equal_all_pairs(spark, distance, hot):
     rng = random.Random(distance)
     base = [rng.getrandbits(64) for _ in range(12)]
