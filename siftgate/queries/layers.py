@@ -42,6 +42,7 @@ from siftgate.queries.base import (
 )
 from siftgate.queries.bytes_ import prints
 from siftgate.sources.items import items_from
+from siftgate.sources.tables import spread
 
 # Line items as layer scores, with every kind of odd number among them. Both engines
 # read these expressions.
@@ -65,7 +66,8 @@ SQL_RAW = (
 
 def raw_layers(spark, sf_dir):
     columns = [f"{e} AS {k}" for k, e in RAW_LAYERS.items()]
-    return table(spark, sf_dir, "lineitem").selectExpr(f"{_ID.format('STRING')} AS item_id", *columns)
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return lines.selectExpr(f"{_ID.format('STRING')} AS item_id", *columns)
 
 
 def _weighted(weights, value):

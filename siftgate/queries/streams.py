@@ -13,6 +13,7 @@ from siftgate.queries.base import blocklist, document_items, query, table
 from siftgate.queries.events import SQL_LATEST, SQL_PAIRED, TIMEOUT_MS, message_rows, state_rows
 from siftgate.queries.runs import PLAIN_SLOTS, SQL_PLAIN_AUDIT, SQL_SCREEN, flat
 from siftgate.sources.audit_log import read_audit
+from siftgate.sources.tables import spread
 from siftgate.streaming.jobs import (
     file_stream,
     first_responses,
@@ -29,6 +30,10 @@ def stream_of(spark, sf_dir, name):
     return file_stream(spark, f"{sf_dir}/{name}.parque[t]", schema)
 
 
+def document_stream(spark, sf_dir):
+    return spread(stream_of(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "documents"))
+
+
 def run_to_end(start, spark, name):
     """Start a job with a fresh sink and checkpoint, wait for it, return the sink's path."""
     base = scratch_path(spark, name)
@@ -38,7 +43,7 @@ def run_to_end(start, spark, name):
 
 @query("stream_screen", SQL_SCREEN)
 def stream_screen_query(spark, sf_dir):
-    docs = document_items(stream_of(spark, sf_dir, "documents"))
+    docs = document_items(document_stream(spark, sf_dir))
     blocked = blocklist(spark, sf_dir)
     sink = run_to_end(
         lambda out, ck: stream_screen(docs, blocked, out, ck, PLAIN_SLOTS), spark, "stream-screen"
@@ -51,7 +56,7 @@ def stream_screen_query(spark, sf_dir):
     f"WITH {SQL_PLAIN_AUDIT} SELECT item_id, agent, score, reason FROM audit",
 )
 def stream_audit_query(spark, sf_dir):
-    docs = document_items(stream_of(spark, sf_dir, "documents"))
+    docs = document_items(document_stream(spark, sf_dir))
     blocked = blocklist(spark, sf_dir)
     sink = run_to_end(
         lambda out, ck: stream_audit(docs, blocked, f"{out}/result", f"{out}/audit", ck, PLAIN_SLOTS),

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def few_files(df: DataFrame) -> bool:
+    """True when a table has fewer files than there are cores."""
+    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
     """Hash-partition a table on its id when it has fewer files than there are cores.
 
     A file with one row group is one task, however many cores wait. Tables of many files,
-    as on a cluster, are left as they are: no shuffle.
+    as on a cluster, are left as they are: no shuffle. For a stream, `source` is the
+    table it reads.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df if key is None else spread(df, key)
+    if few_files(df if source is None else source):
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df
