@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgate.constants import DEFAULT_SCORER_IDS, FUSION_ID, FUSION_WEIGHTS, LAYERS, PREPROCESS_ID
 from siftgate.operators.scorers import native_scorer, python_scorer, wordlist_scorer
-from siftgate.plans.scratch import scratch_path
+from siftgate.plans.scratch import scratch_path, written
 from siftgate.plans.screen import (
     abnormal_report,
     audit_by_agent,
@@ -181,7 +181,8 @@ def audit_events_query(spark, sf_dir):
 FROM acted JOIN (SELECT item_id, count(*) AS audit_rows FROM audit GROUP BY 1) USING (item_id)""",
 )
 def audit_tuple_query(spark, sf_dir):
-    result = mixed_run(spark, sf_dir)
+    # Read twice, so stored first: the run itself happens once.
+    result = written(mixed_run(spark, sf_dir), "result")
     return audit_tuple(result, audit_events(result, MIXED_SLOTS))
 
 

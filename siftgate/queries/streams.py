@@ -102,11 +102,15 @@ def stream_latest_state_query(spark, sf_dir):
     return latest_checkpoint(spark.read.parquet(sink)).select("item_id", "state", "event_id")
 
 
+# 2024-01-01 in milliseconds. Time 0 would not do: it equals the first watermark and is late.
+_ARRIVAL_START = 1_704_067_200_000
+
+
 @query("stream_dedup", "SELECT DISTINCT md5(text) AS md5 FROM documents")
 def stream_dedup_query(spark, sf_dir):
-    """Documents arrive a millisecond apart, in order of their id."""
+    """Documents arrive a millisecond apart from 2024 on, in order of their id."""
     docs = stream_of(spark, sf_dir, "documents").select(
-        F.md5("text").alias("md5"), F.timestamp_millis("doc_id").alias("ts")
+        F.md5("text").alias("md5"), F.timestamp_millis(F.lit(_ARRIVAL_START) + F.col("doc_id")).alias("ts")
     )
     sink = run_to_end(
         lambda out, ck: stream_dedup(docs, out, ck, lateness="365 days"), spark, "stream-dedup"
