@@ -34,14 +34,14 @@ from siftgate.queries.layers import sql_action
 from siftgate.sources.audit_log import audit_line_count, file_line_count, read_audit, write_audit
 
 TEXT_SCORER = wordlist_scorer(ENTRIES)
-ODD_SCORER = native_scorer(
-    "odd-id",
+ADDRESS_SCORER = native_scorer(
+    "address",
     lambda i: F.lit(0.25),
-    "odd-id",
-    lambda i: F.when(F.col("item_id").cast("bigint") % 7 == 3, "id leaves 3 by 7"),
+    "address",
+    lambda i: F.when(F.contains("ocr_text", F.lit("@")), "holds an address"),
 )
 PLAIN_SLOTS = {"text_risk": TEXT_SCORER}
-MIXED_SLOTS = {"text_risk": TEXT_SCORER, "ad": ODD_SCORER}
+MIXED_SLOTS = {"text_risk": TEXT_SCORER, "ad": ADDRESS_SCORER}
 
 
 def plain_run(spark, sf_dir):
@@ -49,7 +49,7 @@ def plain_run(spark, sf_dir):
 
 
 def cancel_requests(spark, sf_dir):
-    marked = table(spark, sf_dir, "labels").where("quality = 1 and doc_id % 2 = 0")
+    marked = table(spark, sf_dir, "labels").where("quality = 1")
     return marked.select(item_key(), F.lit("labelled").alias("reason"))
 
 
@@ -85,14 +85,14 @@ run AS (
 plain AS (SELECT *, {sql_action('score')} AS action FROM run)"""
 
 SQL_MIXED = f"""{SQL_SEVERITY}, {SQL_BLOCKLIST},
-asked AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS item_id FROM labels WHERE quality = 1 AND doc_id % 2 = 0),
+asked AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS item_id FROM labels WHERE quality = 1),
 state AS (
   SELECT l.*, text_score, CASE
       WHEN hit_kind IS NOT NULL THEN 'hit'
-      WHEN CAST(l.item_id AS BIGINT) % 7 = 3 THEN 'failed'
+      WHEN contains(d.text, '@') THEN 'failed'
       WHEN a.item_id IS NOT NULL THEN 'cancelled' ELSE 'done' END AS path,
     {_sum({'text_risk': 'text_score', 'ad': '25e-2'})} AS s
-  FROM looked l JOIN severity USING (item_id) LEFT JOIN asked a USING (item_id)),
+  FROM looked l JOIN severity USING (item_id) JOIN docs d USING (item_id) LEFT JOIN asked a USING (item_id)),
 mixed AS (
   SELECT *, CASE path WHEN 'hit' THEN 1e0 WHEN 'failed' THEN NULL WHEN 'cancelled' THEN 5e-1 ELSE least(s, 1e0) END AS score,
          CASE path WHEN 'failed' THEN NULL WHEN 'cancelled' THEN 'cancelled-before-fusion' ELSE 'fusion-decision' END AS reason,
@@ -109,9 +109,9 @@ def _audit_sql(source):
         "metadata": (None, "5e-1", "'stub-metadata'"),
         "porn": (None, "5e-1", "'stub-porn'"),
         "ad": (
-            "odd-id",
+            "address",
             "CASE WHEN path = 'failed' THEN -1e0 ELSE 25e-2 END",
-            "CASE WHEN path = 'failed' THEN 'error: id leaves 3 by 7' ELSE 'odd-id' END",
+            "CASE WHEN path = 'failed' THEN 'error: holds an address' ELSE 'address' END",
         ),
         "political": (None, "5e-1", "'stub-political'"),
         "logo": (None, "5e-1", "'stub-logo'"),
@@ -231,15 +231,16 @@ def picky(text: pd.Series) -> pd.Series:
 
 @query(
     "failed_items",
-    f"""WITH {SQL_BLOCKLIST}, t AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, contains(lower(text), 'free') AS bad FROM documents),
-f AS (SELECT *, CAST(item_id AS BIGINT) % 7 = 3 AS odd FROM looked JOIN t USING (item_id) WHERE hit_kind IS NULL)
-SELECT item_id, CASE WHEN bad THEN 'picky threw: free text' ELSE 'odd-id threw: id leaves 3 by 7' END AS terminal_reason,
+    f"""WITH {SQL_BLOCKLIST}, t AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, contains(lower(text), 'free') AS bad,
+  contains(text, '@') AS odd FROM documents),
+f AS (SELECT * FROM looked JOIN t USING (item_id) WHERE hit_kind IS NULL)
+SELECT item_id, CASE WHEN bad THEN 'picky threw: free text' ELSE 'address threw: holds an address' END AS terminal_reason,
        bad AS text_failed, CASE WHEN odd THEN -1e0 ELSE 25e-2 END AS ad_score,
-       CASE WHEN odd THEN 'error: id leaves 3 by 7' ELSE 'odd-id' END AS ad_reason
+       CASE WHEN odd THEN 'error: holds an address' ELSE 'address' END AS ad_reason
 FROM f WHERE bad OR odd""",
 )
 def failed_items_query(spark, sf_dir):
-    slots = {"text_risk": python_scorer("picky", picky, ["ocr_text"], "length"), "ad": ODD_SCORER}
+    slots = {"text_risk": python_scorer("picky", picky, ["ocr_text"], "length"), "ad": ADDRESS_SCORER}
     failed = failed_items(screen(items(spark, sf_dir), blocklist(spark, sf_dir), slots))
     return failed.select(
         "item_id",
@@ -286,7 +287,7 @@ def _path_rows():
     "state_events",
     f"""WITH {SQL_MIXED}, walk(path, seq, state, phase) AS (VALUES {_path_rows()})
 SELECT item_id, seq, CASE WHEN phase = 'end' THEN 'pipeline.' || state ELSE 'pipeline.' || state || '.' || phase END AS type,
-       state, phase, CASE WHEN phase = 'end' AND path = 'failed' THEN 'odd-id threw: id leaves 3 by 7'
+       state, phase, CASE WHEN phase = 'end' AND path = 'failed' THEN 'address threw: holds an address'
                           WHEN phase = 'end' AND path = 'cancelled' THEN 'labelled' END AS reason
 FROM acted JOIN walk USING (path)""",
 )
@@ -297,14 +298,14 @@ def state_events_query(spark, sf_dir):
 def done_items(spark, sf_dir):
     """Labelled documents as already screened; for some the bytes have changed since."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"))
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    changed = F.col("doc_id") % 5 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    changed = F.col("quality") == 0
     return docs.join(labels, "doc_id").select(item_key(), F.when(changed, "stale").otherwise(F.col("md5")).alias("md5"))
 
 
 @query(
     "rescreen",
-    f"""WITH {SQL_RUN}, finished AS (SELECT CAST(doc_id AS VARCHAR) AS item_id FROM labels WHERE doc_id % 5 <> 1)
+    f"""WITH {SQL_RUN}, finished AS (SELECT CAST(doc_id AS VARCHAR) AS item_id FROM labels WHERE quality <> 0)
 SELECT item_id, score, action FROM plain WHERE item_id NOT IN (SELECT item_id FROM finished)""",
 )
 def rescreen_query(spark, sf_dir):
