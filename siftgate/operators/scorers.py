@@ -133,7 +133,7 @@ def python_scorer(
     """A score from a function over pandas Series, run on Arrow batches.
 
     Rows whose inputs are all null (skipped items) are not passed on. When a batch
-    throws, its rows are tried one by one, so only the rows at fault fail.
+    throws, it is halved until the rows at fault are alone, and only they fail.
     """
 
     @F.pandas_udf("struct<score:double,error:string>")
@@ -143,17 +143,19 @@ def python_scorer(
         if not live.any():
             return out
         given = [c[live].reset_index(drop=True) for c in columns]
-        try:
-            scores, errors = list(fn(*given)), [None] * len(given[0])
-        except Exception:
-            scores, errors = [], []
-            for k in range(len(given[0])):
-                try:
-                    scores.append(fn(*[c.iloc[k : k + 1].reset_index(drop=True) for c in given]).iloc[0])
-                    errors.append(None)
-                except Exception as exc:
-                    scores.append(None)
-                    errors.append(str(exc) or type(exc).__name__)
+        scores: list = [None] * len(given[0])
+        errors: list = [None] * len(given[0])
+        spans = [(0, len(scores))]
+        while spans:
+            lo, hi = spans.pop()
+            try:
+                scores[lo:hi] = list(fn(*[c.iloc[lo:hi].reset_index(drop=True) for c in given]))
+            except Exception as exc:
+                if hi - lo == 1:
+                    errors[lo] = str(exc) or type(exc).__name__
+                else:
+                    middle = (lo + hi) // 2
+                    spans += [(lo, middle), (middle, hi)]
         out.loc[live, "score"] = pd.Series(scores, index=out.index[live], dtype=object)
         out.loc[live, "error"] = pd.Series(errors, index=out.index[live], dtype=object)
         return out
