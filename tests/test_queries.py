@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from siftgate.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,13 +15,13 @@ def db():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
     assert compare(entry.queries()[name](spark, SF), db, entry.oracle_sql()[name]) is None
