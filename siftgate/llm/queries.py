@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftgate.llm.bpe import codec
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from siftgate.llm.simhash import near_duplicates
 
@@ -15,3 +17,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    encode, decode = codec(spark, path or public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
+    return encoded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded")).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
