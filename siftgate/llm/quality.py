@@ -28,7 +28,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 DIM = 16
 SAMPLE_ROWS = 3_000
-EPOCHS = 3
+STEPS = 9_000
 RATE = 8.0
 THRESHOLD = 0.3
 _SPACE = np.zeros(256, bool)
@@ -88,8 +88,11 @@ class Model:
         return (self.vectors @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[bytes], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Stochastic gradient descent over the sample, one document at a time, falling rate."""
+def train(texts: list[bytes], labels: list[int], dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
+    """Stochastic gradient descent, one document at a time, at a falling rate.
+
+    Goes over the sample as often as it takes to make about `steps` steps.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
@@ -98,6 +101,7 @@ def train(texts: list[bytes], labels: list[int], dim: int = DIM, epochs: int = E
     share = min(max(share, 1e-6), 1 - 1e-6)
     bias = np.log([1 - share, share]).astype(np.float32)
     if 1e-6 < share < 1 - 1e-6:
+        epochs = -(-steps // len(y))
         total, done = epochs * len(y), 0
         for _ in range(epochs):
             for i in rng.permutation(len(y)):
