@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftgate.llm.bpe import codec
 from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from siftgate.llm.secrets import BASE_KINDS, spelled, with_secrets
 from siftgate.llm.simhash import near_duplicates
 
 
@@ -38,3 +39,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = scorer(docs, fit(docs, table(spark, sf_dir, "labels")))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
