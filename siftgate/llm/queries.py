@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftgate.llm import sql
 from siftgate.llm.bpe import codec
+from siftgate.llm.mixing import taken_words
 from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from siftgate.llm.secrets import BASE_KINDS, spelled, with_secrets
@@ -46,3 +48,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+@query("op3_mixing", sql.MIX)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
