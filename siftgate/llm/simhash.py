@@ -174,14 +174,16 @@ def near_duplicates(
     return prints.join(every, "fp").select("id", "fp", "component_id", *keep)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_distance: int = 4
+) -> DataFrame:
     """docs with one row of each component: that with the smallest id (nulls last; ties: any one).
 
     The rows are written once with a row number, so all that is decided about a row holds
     for the very row that stays.
     """
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, id_col, text_col, keep=("__row",))
+    found = near_duplicates(numbered, id_col, text_col, words, max_distance, keep=("__row",))
     group = F.struct(F.col("component_id").isNull().alias("n"), F.coalesce("component_id", "fp").alias("c"))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "__row")).alias("m"))
     return numbered.join(best.select("m.__row"), "__row", "left_semi").drop("__row")
