@@ -11,7 +11,7 @@ from siftgate.llm.bpe import codec
 from siftgate.llm.mixing import taken_words
 from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
-from siftgate.llm.secrets import BASE_KINDS, spelled, with_secrets
+from siftgate.llm.secrets import BASE_KINDS, count_kind, spelled, with_secrets
 from siftgate.llm.simhash import near_duplicates
 
 
@@ -46,7 +46,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [count_kind(F.col("base"), k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 

@@ -187,6 +187,10 @@ def with_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return more.withColumn("spans", F.array_sort(F.concat("base", "spans")))
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
+
 def spelled(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
