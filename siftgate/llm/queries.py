@@ -13,6 +13,8 @@ from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from siftgate.llm.secrets import BASE_KINDS, count_kind, spelled, with_secrets
 from siftgate.llm.simhash import near_duplicates
+from siftgate.llm.warc import read_archive, write_archive
+from siftgate.plans.scratch import scratch_path
 
 
 @query("op1_simhash")
@@ -53,3 +55,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing", sql.MIX)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS kept, sha1(b) AS h FROM p),
+bits AS (
+  SELECT *, list_aggregate(list_transform(range(40), lambda i: lpad(bin(strpos('0123456789abcdef', h[i + 1]) - 1), 4, '0')), 'string_agg', '') AS x FROM k)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(5), lambda j: CASE WHEN x[5 * i + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END))::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM bits
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), folder)
+    return read_archive(spark, folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
