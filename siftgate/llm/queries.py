@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgate.llm import sql
+from siftgate.llm.ann import nearest
 from siftgate.llm.bpe import codec
+from siftgate.llm.embed_dedup import near_duplicates as embed_near_duplicates
 from siftgate.llm.mixing import taken_words
 from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
-from siftgate.llm.secrets import BASE_KINDS, count_kind, spelled, with_secrets
+from siftgate.llm.secret_scan import BASE_KINDS, count_kind, spelled, with_secrets
 from siftgate.llm.simhash import near_duplicates
 from siftgate.llm.warc import read_archive, write_archive
 from siftgate.plans.scratch import scratch_path
@@ -76,3 +78,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+@query("op5_embed_dedup")
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op9_ann")
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
