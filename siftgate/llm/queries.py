@@ -15,6 +15,7 @@ from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from siftgate.llm.secret_scan import BASE_KINDS, count_kind, spelled, with_secrets
 from siftgate.llm.simhash import near_duplicates
+from siftgate.llm.suffix_dedup import remove_repeats
 from siftgate.llm.warc import read_archive, write_archive
 from siftgate.plans.scratch import scratch_path
 
@@ -88,3 +89,9 @@ def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ann")
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
