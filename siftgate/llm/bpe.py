@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -94,7 +95,8 @@ class Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.encode(word.encode()), "<u4").tobytes()
+        ids = self.encode(word.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < CACHED_WORDS and len(word) <= CACHED_LENGTH:
             self[word] = packed
         return packed
@@ -116,21 +118,30 @@ class Automaton:
                 self.left[ab], self.right[ab], self.rank[ab] = a, b, rank
         self.arcs: dict[int, bool] = {}
         self._shown: dict[int, tuple[list, list]] = {}
-        # Spelling table: node and byte to node, nodes that spell a token to its id.
-        self.step: dict[int, int] = {}
-        self.label: dict[int, int] = {}
-        nodes = 0
+        # Spelling table: children and token of each node, and by token the longest token that starts it.
+        self.kids: list[dict[int, int]] = [{}]
+        self.label: list[int] = [-1]
+        self.tokens: dict[bytes, int] = {}
+        self.length = [len(x) for x in self.spellings]
         for token, spelling in enumerate(self.spellings):
             if not spelling or token in self.specials.values():
                 continue
+            self.tokens[spelling] = token
             node = 0
             for byte in spelling:
-                key = node << 8 | byte
-                if key not in self.step:
-                    nodes += 1
-                    self.step[key] = nodes
-                node = self.step[key]
+                known = self.kids[node].get(byte)
+                if known is None:
+                    known = self.kids[node][byte] = len(self.kids)
+                    self.kids.append({})
+                    self.label.append(-1)
+                node = known
             self.label[node] = token
+        self.shorter = [-1] * n
+        for spelling, token in self.tokens.items():
+            for size in range(len(spelling) - 1, 0, -1):
+                if spelling[:size] in self.tokens:
+                    self.shorter[token] = self.tokens[spelling[:size]]
+                    break
         self._words = Words(self.word_ids)
         self._special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self._split, self._split_all = map(re.compile, split)
@@ -172,50 +183,52 @@ class Automaton:
             self.arcs[u << 32 | v] = known
         return known
 
-    def _labels(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """(token, end) for every token spelled from `at`, the longest last."""
-        found = []
-        node = 0
-        step, label = self.step.get, self.label.get
-        for j in range(at, len(word)):
-            node = step(node << 8 | word[j], 0)
-            if not node:
-                break
-            token = label(node, -1)
-            if token >= 0:
-                found.append((token, j + 1))
-        return found
-
     def word_ids(self, word: bytes) -> list[int]:
         """The accepted path that spells the word.
 
-        Long arcs are tried first. A position is reached in one state only, so one from
-        which the end was not reached is closed for good.
+        Long arcs are tried first, then the next shorter token that starts the same. A
+        position is reached in one state only, so one from which the end was not reached is
+        closed for good.
         """
-        n = len(word)
-        if not n:
-            return []
+        whole = self.tokens.get(word)
+        if whole is not None:
+            return [whole]
+        kids, label, shorter, length, arcs = self.kids, self.label, self.shorter, self.length, self.arcs
         ids: list[int] = []
-        held: list[tuple[int, list[tuple[int, int]]]] = []
-        closed = bytearray(n + 1)
-        at, arcs = 0, self._labels(word, 0)
-        while True:
-            while arcs:
-                token, end = arcs.pop()
-                if closed[end] or ids and not self.may_follow(ids[-1], token):
-                    continue
-                ids.append(token)
-                if end == n:
-                    return ids
-                held.append((at, arcs))
-                at, arcs = end, self._labels(word, end)
-                break
-            else:
-                closed[at] = 1
-                if not held:
+        closed: set[int] = set()
+        n, at, last = len(word), 0, -1
+        while at < n:
+            node, token = 0, -1
+            for byte in word[at:]:
+                node = kids[node].get(byte)
+                if node is None:
+                    break
+                if label[node] >= 0:
+                    token = label[node]
+            while True:
+                while token >= 0:
+                    if last < 0:
+                        allowed = True
+                    else:
+                        allowed = arcs.get(last << 32 | token)
+                        if allowed is None:
+                            allowed = self.may_follow(last, token)
+                    if allowed and not (closed and at + length[token] in closed):
+                        break
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                if not ids:
                     raise ValueError("the vocabulary does not spell every byte")
-                at, arcs = held.pop()
-                ids.pop()
+                closed.add(at)
+                token = ids.pop()
+                at -= length[token]
+                last = ids[-1] if ids else -1
+                token = shorter[token]
+            ids.append(token)
+            at += length[token]
+            last = token
+        return ids
 
     def _plain(self, text: str) -> bytes:
         split = self._split_all if self._beyond.search(text) else self._split
@@ -233,7 +246,7 @@ class Automaton:
 
     def decode(self, packed: bytes) -> str:
         spelled = self.spellings
-        raw = b"".join([spelled[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        raw = b"".join(map(spelled.__getitem__, np.frombuffer(packed, "<u4").tolist()))
         return raw.decode("utf-8", "replace")
 
 
