@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.llm import sql
+from siftgate.llm import pii, sql
 from siftgate.llm.ann import nearest
 from siftgate.llm.bpe import codec
 from siftgate.llm.embed_dedup import near_duplicates as embed_near_duplicates
@@ -95,3 +95,12 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.finder(docs, pii.fit(docs))(F.col("text")).alias("found"))
+    base = found.withColumn("base", F.filter("found", lambda s: s["base"]))
+    counts = [count_kind(F.col("base"), k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return base.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("found")).alias("spans"))
