@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Frees a finished write's shuffle files on all executors; they would else stay until the driver's garbage goes.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's checkpoint folder.
 
-    Only a session without that setting (a test) gets a local folder of its own.
+    Without that setting a local session (a test) gets a local folder of its own; on a
+    cluster, where executors would each write to their own disk, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/siftgate/{name}-{uuid.uuid4().hex}"
@@ -22,6 +28,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back, so several readers do not recompute it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that written() returned, once nothing that is still to run reads them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
