@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgate.plans.scratch import written
+from siftgate.plans.scratch import forget, written
 
 
 def longs(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
@@ -154,4 +154,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = written(small.select("e.*").where(a != b).distinct(), "links")
+        old, now = now, written(small.select("e.*").where(a != b).distinct(), "links")
+        forget(old)

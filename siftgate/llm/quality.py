@@ -100,7 +100,7 @@ def train(texts: list[bytes], labels: list[int], dim: int = DIM, steps: int = ST
     share = y.mean() if len(y) else 0.5
     share = min(max(share, 1e-6), 1 - 1e-6)
     bias = np.log([1 - share, share]).astype(np.float32)
-    if 1e-6 < share < 1 - 1e-6:
+    if 0 < y.sum() < len(y):
         epochs = -(-steps // len(y))
         total, done = epochs * len(y), 0
         for _ in range(epochs):
