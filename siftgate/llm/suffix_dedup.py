@@ -19,7 +19,7 @@ no task holds a whole large group. Work per task is bounded by pieces of texts,
 
 Null texts are empty. Documents are identified by id and text: rows that repeat both are one
 document and get the same result; documents with one id and different texts come in the
-order of a hash of the text; a null id comes last. Other columns are ignored.
+order of a 32-bit hash of the text; a null id comes last. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgate.llm.common import binary_parts, dealt, longs, tiled, whole_groups
-from siftgate.plans.scratch import written
+from siftgate.plans.scratch import forget, written
 
 LENGTH = 100
 KGRAM = 24
@@ -231,7 +231,7 @@ def _repeats(length: int):
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    return docs.select(F.col(id_col).alias("id"), order.alias("ord"), F.xxhash64(text).alias("th"), text.alias("bytes"))
+    return docs.select(F.col(id_col).alias("id"), order.alias("ord"), F.xxhash64(text).bitwiseAND((1 << 32) - 1).alias("th"), text.alias("bytes"))
 
 
 def repeated_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -249,7 +249,9 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     strings = open_.join(rows.select("ord", "th", "bytes"), ["ord", "th"]).select("key", "ord", "th", "at", "n", cut.alias("bytes"))
     tiles = dealt(tiled(strings, ["key"], ["ord", "th", "at"], CHUNK), ["key", "lo", "hi"])
     found = tiles.mapInArrow(_repeats(length), "ord long, th long, start long, last long")
-    return written(copied.unionByName(found), "repeats")
+    repeats = written(copied.unionByName(found), "repeats")
+    forget(seen, distinct)
+    return repeats
 
 
 def _kept(length: int):
