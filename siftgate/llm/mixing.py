@@ -34,7 +34,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 WEIGHTS = (5, 2, 1)
 CAP = 3
-CHUNK = 1 << 16
+CHUNK = 1 << 15
+MAX_TASKS = 100_000
 ROUNDS = 8
 P = 2_147_483_647
 
@@ -134,11 +135,12 @@ def laid_out(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def slot_draws(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: one row (rank, block, pass, shard, slot) per slot."""
     chunks = targets.where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")))
-    spread = chunks.repartition("rank", "chunk")
+    drawn = targets.agg(F.max("all_slots")).head()[0] or 0  # one number: how many tasks draw
+    spread = chunks.repartition(max(1, min(-(-drawn // CHUNK), MAX_TASKS)), "rank", "chunk")
     each = spread.withColumn("k", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")))
     each = each.withColumns({"pass": F.expr("k div blocks"), "r": F.expr("k % blocks"), "u": F.expr("first_slot + k")})
-    drawn = permuted(each, "block", "r", "blocks", F.col("rank") * 64 + F.col("pass") + 1)
-    dealt = permuted(drawn, "at", "u", "all_slots", F.lit(0).cast("long"))
+    taken = permuted(each, "block", "r", "blocks", F.col("rank") * 64 + F.col("pass") + 1)
+    dealt = permuted(taken, "at", "u", "all_slots", F.lit(0).cast("long"))
     return dealt.select("rank", "block", "pass", F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"))
 
 
@@ -158,7 +160,8 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHA
     placed = laid_out(sized, targets)
     slots = slot_draws(targets, shard_slots)
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    parts = block_parts(placed, block_words).join(times, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # The hint: from the few rows of targets Spark would guess that the slots are few, and broadcast them.
+    parts = block_parts(placed, block_words).join(times.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return placed, slots, parts
 
 
@@ -187,7 +190,7 @@ def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("start", piece.alias("piece")))).alias("p"))
         .withColumn("text", F.array_join(F.flatten(F.col("p.piece")), " "))
     )
-    return slots.join(texts, ["rank", "block"]).select("shard", "slot", "source", "block", "text")
+    return slots.hint("merge").join(texts, ["rank", "block"]).select("shard", "slot", "source", "block", "text")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
