@@ -67,7 +67,8 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], max_distance: int)
 
 def _expanded_pairs(hashes: DataFrame, max_distance: int) -> DataFrame:
     """Pairs found by meeting in the middle: one side flips up to half the distance, the
-    other side the rest. Work is linear in the hashes, whatever they have in common."""
+    other side the rest. The flipped rows are linear in the hashes; the pairs that meet are
+    not: hashes that all lie within the distance of each other give all their pairs."""
     near, far = max_distance // 2, max_distance - max_distance // 2
 
     def reach(radius: int) -> DataFrame:
@@ -107,7 +108,6 @@ def near_hash_pairs(hashes: DataFrame, max_distance: int, hot_bucket: int = HOT_
 def near_duplicates(
     items: DataFrame,
     max_distance: int = 3,
-    min_bytes: int = 64,
     item: str = "item_id",
     content: str = "content",
     hot_bucket: int = HOT_BUCKET,
@@ -117,11 +117,11 @@ def near_duplicates(
 
     Every item of group a is within `distance` of every item of group b; items with one
     hash form a row with hash_a = hash_b and distance 0. Copies collapse into their
-    group before any pairing, so a group of any size costs one row. Inputs under
-    `min_bytes` are left out: their hash tells little more than their length.
+    group before any pairing, so a group of any size costs one row. Items without bytes
+    (null) have no hash and are left out; short ones are compared like any other.
     """
     groups = (
-        items.where(F.octet_length(content) >= min_bytes)
+        items.where(F.col(content).isNotNull())
         .select(F.col(item).alias("id"), byte_grid_hash(F.col(content)).alias("phash"))
         .groupBy("phash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_item"))

@@ -8,6 +8,7 @@ from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from siftgate.constants import DEFAULT_SCORE, FUSION_WEIGHTS, LAYERS, REJECT_AT, REVIEW_AT
 from siftgate.functions.clamp import clamp01, clamp_unit
@@ -47,12 +48,13 @@ def score_to_action(score: Column, config: FusionConfig = DEFAULT_FUSION) -> Col
 
 
 def layer_vector(df: DataFrame) -> DataFrame:
-    """The seven layer columns as clamped doubles; a missing or non-numeric value is 0."""
-    out = df
-    for layer in LAYERS:
-        raw = F.col(layer) if layer in df.columns else F.lit(None)
-        out = out.withColumn(layer, clamp01(raw.try_cast("double")))
-    return out
+    """The seven layer columns as clamped doubles; a missing value or one that is no number is 0.
+
+    The column's type decides: text is no number, whatever it spells.
+    """
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    values = {layer: F.col(layer).cast("double") if layer in numbers else F.lit(0.0) for layer in LAYERS}
+    return df.withColumns({layer: clamp01(value) for layer, value in values.items()})
 
 
 def fusion_input(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftgate.constants import SEVERITY_WEIGHTS
 from siftgate.functions.clamp import clamp01
 from siftgate.functions.text import match_text
-from siftgate.operators.search import find_exact_large, regex_start
+from siftgate.operators.search import find_exact_large, regex_start, row_key
 from siftgate.plans.joins import is_small
 
 # Exact entries up to here are searched in place; a longer list is joined.
@@ -36,8 +36,10 @@ def _first_listed(entries: Iterable[Entry], case_sensitive: bool) -> list[Entry]
     seen: set[tuple[bool, str]] = set()
     kept = []
     for entry in entries:
+        if not entry.word:
+            continue
         key = (entry.match == "regex", entry.word if case_sensitive else entry.word.lower())
-        if entry.word and key not in seen:
+        if key not in seen:
             seen.add(key)
             kept.append(entry)
     return kept
@@ -113,7 +115,8 @@ def match_wordlist(
     item: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """(item, matched, total, score) per item. Each entry reports its first occurrence."""
+    """(item, matched, total, score) per row of items, whatever its id. Each entry reports its
+    first occurrence; entries without a word report nothing but count in the total."""
     entries = wordlist_entries(wordlist)
     normalised = items.select(item, match_text(F.col(text), case_sensitive).alias("__t"))
     if entries is None:
@@ -125,7 +128,10 @@ def match_wordlist(
     )
 
 
-def _match_large(normalised: DataFrame, wordlist: DataFrame, case_sensitive: bool, item: str) -> DataFrame:
+def _match_large(rows: DataFrame, wordlist: DataFrame, case_sensitive: bool, name: str) -> DataFrame:
+    keyed = rows.withColumn("__key", row_key(name, "__t"))
+    # Rows equal in id and text are searched once; results come back to every row.
+    normalised, item = keyed.select("__key", "__t").dropDuplicates(["__key"]), "__key"
     total = wordlist.count()
     is_regex = F.coalesce(F.col("match") == "regex", F.lit(False))
     fold = F.col("word") if case_sensitive else F.lower("word")
@@ -165,10 +171,10 @@ def _match_large(normalised: DataFrame, wordlist: DataFrame, case_sensitive: boo
     per_item = found.groupBy(item).agg(_in_order(F.collect_list("m")).alias("matched"))
     n = F.lit(total)
     return (
-        normalised.select(item)
+        keyed.select("__key", name)
         .join(per_item, item, "left")
         .select(
-            item,
+            name,
             F.coalesce("matched", F.array().cast(MATCHED)).alias("matched"),
             n.cast("int").alias("total"),
             match_score(F.coalesce(F.size("matched"), F.lit(0)), n).alias("score"),

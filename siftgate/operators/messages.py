@@ -35,7 +35,8 @@ def request_response(events: DataFrame, base_type: str, timeout_ms: int = DEFAUL
     Time is cut into spans as long as the timeout, so a request's answer lies in its own
     span or the next. In its own span it is the next response by time; of the next span
     only the first response matters, one row per id and span. No request is paired
-    with every response, and a busy correlation id is split over its spans.
+    with every response, and a busy correlation id is split over its spans. Requests
+    without a correlation id time out.
     """
     span = timeout_ms * 1000
     at = F.unix_micros("ts")
@@ -52,7 +53,8 @@ def request_response(events: DataFrame, base_type: str, timeout_ms: int = DEFAUL
         .orderBy(F.desc("ts"), F.desc("is_response"), F.desc("event_id"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    following = F.last(F.when(F.col("is_response"), reply), ignorenulls=True).over(backward)
+    paired = F.col("is_response") & F.col("correlation_id").isNotNull()
+    following = F.last(F.when(paired, reply), ignorenulls=True).over(backward)
     requests = talk.withColumn("same_span", following).where(~F.col("is_response"))
     firsts = (
         talk.where("is_response")

@@ -132,24 +132,28 @@ def python_scorer(
 ) -> Scorer:
     """A score from a function over pandas Series, run on Arrow batches.
 
-    Rows whose inputs are all null (skipped items) are not passed on. When a batch
-    throws, it is halved until the rows at fault are alone, and only they fail.
+    Skipped items are not passed on; items with null inputs are. When a batch throws, or
+    gives another number of values than rows, it is halved until the rows at fault are
+    alone, and only they fail.
     """
 
     @F.pandas_udf("struct<score:double,error:string>")
-    def run(*columns: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"score": [None] * len(columns[0]), "error": [None] * len(columns[0])}, dtype=object)
-        live = ~pd.concat([c.isna() for c in columns], axis=1).all(axis=1).to_numpy()
+    def run(goes: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"score": [None] * len(goes), "error": [None] * len(goes)}, dtype=object)
+        live = goes.to_numpy(dtype=bool)
         if not live.any():
             return out
         given = [c[live].reset_index(drop=True) for c in columns]
-        scores: list = [None] * len(given[0])
-        errors: list = [None] * len(given[0])
+        scores: list = [None] * int(live.sum())
+        errors: list = [None] * int(live.sum())
         spans = [(0, len(scores))]
         while spans:
             lo, hi = spans.pop()
             try:
-                scores[lo:hi] = list(fn(*[c.iloc[lo:hi].reset_index(drop=True) for c in given]))
+                values = list(fn(*[c.iloc[lo:hi].reset_index(drop=True) for c in given]))
+                if len(values) != hi - lo:
+                    raise ValueError(f"{len(values)} scores for {hi - lo} rows")
+                scores[lo:hi] = values
             except Exception as exc:
                 if hi - lo == 1:
                     errors[lo] = str(exc) or type(exc).__name__
@@ -164,7 +168,7 @@ def python_scorer(
         scorer_id,
         version,
         lambda i: outcome(i["result"]["score"], reason, i["result"]["error"]),
-        [lambda i: {"result": run(*[i[name] for name in inputs])}],
+        [lambda i: {"result": run(i["runs"], *[i[name] for name in inputs])}],
     )
 
 
@@ -227,6 +231,11 @@ def route(layer: str, unless: Column | None = None) -> dict[str, Column]:
     return {name: F.when(~unless, value) for name, value in inputs.items()}
 
 
+def runs(unless: Column | None) -> Column:
+    """Whether batch scorers get a row."""
+    return F.lit(True) if unless is None else ~F.coalesce(unless, F.lit(False))
+
+
 def layer_inputs(items: DataFrame) -> DataFrame:
     """One struct column per layer holding its inputs with their defaults."""
     return items.select(
@@ -245,7 +254,7 @@ def score_layers(items: DataFrame, slots: Mapping[str, Scorer], unless: Column |
     meaningless and must be masked by the caller. Batch scorers are evaluated for every
     row of a conditional, so masking the inputs is what saves their work.
     """
-    inputs = {layer: route(layer, unless) for layer in LAYERS}
+    inputs = {layer: {**route(layer, unless), "runs": runs(unless)} for layer in LAYERS}
     ready, temporary = items, []
     for step in range(max(len(slots[layer].prepare) for layer in LAYERS)):
         added: dict[str, Column] = {}
@@ -263,9 +272,9 @@ def score_layers(items: DataFrame, slots: Mapping[str, Scorer], unless: Column |
     return ready.withColumns(outcomes).drop(*temporary)
 
 
-def pack_layers() -> list[Column]:
-    """The flat layer columns as one struct column per layer."""
+def pack_layers(slots: Mapping[str, Scorer]) -> list[Column]:
+    """The flat layer columns as one struct column per layer, with the id of its scorer."""
     return [
-        F.expr(f"struct({', '.join(f'{layer}_{part} AS {part}' for part in PARTS)}) AS {layer}")
+        F.struct(*[F.col(f"{layer}_{part}").alias(part) for part in PARTS], F.lit(slots[layer].id).alias("agent")).alias(layer)
         for layer in LAYERS
     ]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftgate.functions.text import text_windows
 from siftgate.plans.joins import is_small, lookup_join
+from siftgate.plans.scratch import written
 
 # Up to here a pattern list is written into the plan as literals.
 LITERAL_PATTERNS = 64
@@ -148,17 +149,19 @@ def _find_literal(
 def _find_join(
     items: DataFrame, table: DataFrame, case_sensitive: bool, item: str, text: str
 ) -> DataFrame:
-    # Bounded facts about the pattern table: longest pattern, anchor lengths in use.
-    shape = table.select(
-        F.max(F.char_length("folded")).alias("longest"),
-        F.collect_set(F.least(F.char_length("folded"), F.lit(ANCHOR_LENGTH))).alias("ks"),
-    ).first()
+    table = written(table, "patterns")
+    shape = table.select(F.max(F.char_length("folded")).alias("longest")).first()
     if shape.longest is None:
         return items.select(item, F.lit("").alias("pattern"), F.lit(0).alias("idx")).where(F.lit(False))
-    anchored = table.withColumn("anchor", F.left("folded", F.lit(ANCHOR_LENGTH)))
-    anchors = anchored.select("anchor").distinct()
-    few = [r.anchor for r in anchors.limit(LITERAL_ANCHORS + 1).collect()]
-    prefilter = few if len(few) <= LITERAL_ANCHORS else None
+    # Anchors are shortened until so few are distinct that they fit one hash-set test per position.
+    for width in range(ANCHOR_LENGTH, 0, -1):
+        anchored = table.withColumn("anchor", F.left("folded", F.lit(width)))
+        few = [r.anchor for r in anchored.select("anchor").distinct().limit(LITERAL_ANCHORS + 1).collect()]
+        if len(few) <= LITERAL_ANCHORS:
+            break
+    by_length: dict[int, list[str]] = {}
+    for anchor in few:
+        by_length.setdefault(len(anchor), []).append(anchor)
 
     searched = items.select(item, _fold(F.col(text), case_sensitive).alias("__t"))
     windows = _windows(searched, item, F.col("__t"), shape.longest, ANCHOR_WINDOW)
@@ -169,19 +172,23 @@ def _find_join(
         item, "start", "window", F.explode(F.sequence(F.lit(0), last)).alias("at")
     )
 
-    def candidates(k: int) -> DataFrame:
-        gram = F.substring(window, at + 1, F.lit(k))
-        hits = placed.where(F.char_length(window) - at >= k)
-        if prefilter is not None:
-            hits = hits.where(gram.isin([a for a in prefilter if len(a) == k]))
-        return hits.select(
-            item,
-            (F.col("start") + at).cast("int").alias("idx"),
-            gram.alias("anchor"),
-            F.substring(window, at + 1, F.lit(shape.longest)).alias("rest"),
-        )
-
-    grams = reduce(DataFrame.unionByName, [candidates(k) for k in sorted(shape.ks)])
+    # All lengths of anchors are tested at a position in one pass over the texts.
+    def gram(k: int) -> Column:
+        return F.substring(window, at + 1, F.lit(k))
+
+    def is_anchor(k: int) -> Column:
+        # More than the bound only with one-character anchors: then every position goes on.
+        known = gram(k).isin(by_length[k]) if len(few) <= LITERAL_ANCHORS else F.lit(True)
+        return known & (F.char_length(window) - at >= k)
+
+    widths = sorted(by_length)
+    found = F.array(*[F.when(is_anchor(k), gram(k)) for k in widths])
+    grams = placed.where(reduce(lambda x, y: x | y, [is_anchor(k) for k in widths])).select(
+        item,
+        (F.col("start") + at).cast("int").alias("idx"),
+        F.substring(window, at + 1, F.lit(shape.longest)).alias("rest"),
+        F.explode(F.array_compact(found)).alias("anchor"),
+    )
     # An anchor shared by many patterns must not multiply positions by patterns: a
     # position fans out only to the distinct lengths its anchor occurs with, then each
     # piece meets the pattern table on the whole pattern.
@@ -203,7 +210,7 @@ def contains_any(
     item: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """Items in which at least one pattern occurs."""
+    """Rows of items in which at least one pattern occurs, whatever their ids. Null patterns are none."""
     spark = items.sparkSession
     if not isinstance(patterns, DataFrame):
         patterns = spark.createDataFrame([(p,) for p in patterns], "pattern string")
@@ -215,18 +222,27 @@ def contains_any(
         folded = items.withColumn("__t", _fold(F.col(text), case_sensitive))
         tests = [F.contains(F.col("__t"), F.lit(w)) for w in sorted(words)]
         return folded.where(reduce(lambda x, y: x | y, tests)).drop("__t")
-    hits = find_exact_large(items, patterns, case_sensitive, item=item, text=text)
-    return items.join(hits.select(item).distinct(), item, "left_semi")
+    keyed = items.withColumn("__key", row_key(item, text))
+    searched = keyed.select("__key", F.col(text).alias("__t")).dropDuplicates(["__key"])
+    hits = find_exact_large(searched, patterns, case_sensitive, item="__key", text="__t")
+    return keyed.join(hits.select("__key").distinct(), "__key", "left_semi").drop("__key")
+
+
+def row_key(item: str, text: str) -> Column:
+    """A key of what decides a row's matches: its id, which may be null or repeat, and its text."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (item, text)]
+    return F.sha2(F.concat(F.char_length(parts[0]).cast("string"), F.lit(":"), *parts), 256)
 
 
 def regex_start(text: Column, pattern: str) -> Column:
     """0-based code point where the first match begins; null without a match.
 
     The built-in position counts UTF-16 units. For texts with characters outside the
-    basic plane the start is taken as the length of the text before the match.
+    basic plane the start is the length of the text before the first match, the pattern
+    itself being left as it is (a further group would shift its back-references).
     """
     unit = F.regexp_instr(text, F.lit(pattern))
-    before = F.char_length(F.regexp_extract(text, f"^((?s:.*?))(?:{pattern})", 1))
+    before = F.when(unit == 1, F.lit(0)).otherwise(F.char_length(F.get(F.split(text, pattern, 2), F.lit(0))))
     beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]")
     return F.when(unit > 0, F.when(beyond_bmp, before).otherwise(unit - 1))
 

@@ -102,7 +102,7 @@ def screen(
         .when(F.col("terminal_state") == "done", score_to_action(F.col("score"), config))
     )
     names = [c for c in RESULT if c not in LAYERS]
-    result = fused.withColumn("action", action).select(*names, *pack_layers()).select(*RESULT)
+    result = fused.withColumn("action", action).select(*names, *pack_layers(slots)).select(*RESULT)
     # Counts of the run. Observing them also keeps a filter on the result above the
     # computation: pushed below, it would repeat every expression it depends on.
     return result.observe(
@@ -128,32 +128,31 @@ def rescreen(items: DataFrame, done: DataFrame, blocklist: DataFrame, **options)
     return screen(items.join(open_ids, "item_id", "left_semi"), blocklist, **options)
 
 
-def layer_scores(result: DataFrame) -> DataFrame:
+def layer_scores(result: DataFrame, *more: str) -> DataFrame:
     """(item_id, action, score, hit_kind, seven layer doubles) as they entered fusion."""
     hit = F.col("hit_kind").isNotNull()
     return result.select(
-        "item_id", "action", "score", "hit_kind",
+        "item_id", "action", "score", "hit_kind", *more,
         *[F.when(hit, F.lit(1.0)).otherwise(clamp_unit(F.col(k)["score"])).alias(k) for k in LAYERS],
     )
 
 
-def audit_events(result: DataFrame, slots: Mapping[str, Scorer] | None = None) -> DataFrame:
+def audit_events(result: DataFrame) -> DataFrame:
     """One row per call: preprocess, each layer, fusion. (item_id, seq, agent, score, reason)
 
     9 rows for a finished item, 2 for a blocklisted one, 8 when it failed or was
     cancelled before fusion.
     """
-    slots = default_slots(**(slots or {}))
     ran = F.col("hit_kind").isNull()
     calls = [
-        (PREPROCESS_ID, F.col("preprocess_score"), F.col("status"), F.lit(True)),
-        *[(slots[k].id, F.col(k)["score"], F.col(k)["reason"], ran) for k in LAYERS],
-        (FUSION_ID, F.col("score"), F.col("reason"), F.col("terminal_state") == "done"),
+        (F.lit(PREPROCESS_ID), F.col("preprocess_score"), F.col("status"), F.lit(True)),
+        *[(F.col(k)["agent"], F.col(k)["score"], F.col(k)["reason"], ran) for k in LAYERS],
+        (F.lit(FUSION_ID), F.col("score"), F.col("reason"), F.col("terminal_state") == "done"),
     ]
     rows = [
         F.struct(
             F.lit(seq).alias("seq"),
-            F.lit(agent).alias("agent"),
+            agent.alias("agent"),
             score.alias("score"),
             reason.alias("reason"),
             happened.alias("happened"),
@@ -231,7 +230,7 @@ def state_events(result: DataFrame) -> DataFrame:
 
 
 def review_queue(result: DataFrame) -> DataFrame:
-    """Items a person has to look at."""
+    """Items a person has to look at. Failed items have no action; abnormal_report lists them."""
     return result.where(F.col("action") == "REVIEW").select("item_id", "score", "reason", "terminal_state")
 
 
@@ -241,14 +240,19 @@ def write_review_queue(result: DataFrame, path: str) -> None:
 
 
 def abnormal_report(result: DataFrame, config: FusionConfig = DEFAULT_FUSION) -> DataFrame:
-    """Items that did not pass, with the layer that contributed most, or the blocklist."""
+    """Items that did not pass, with the layer that contributed most, or the blocklist; failed
+    items (no action, no score) with what they failed of."""
     top = F.get(contributions(config), F.lit(0))
-    flagged = layer_scores(result).where(F.col("action") != "PASS").withColumn("__top", top)
+    failed = F.col("terminal_state") == "failed"
+    flagged = layer_scores(result, "terminal_state", "terminal_reason").where(failed | (F.col("action") != "PASS")).withColumn("__top", top)
     hit = F.col("hit_kind").isNotNull()
     return flagged.select(
         "item_id",
         "action",
         "score",
-        F.when(hit, F.concat(F.lit("blocklist-"), F.col("hit_kind"))).otherwise(F.col("__top.layer")).alias("cause"),
-        F.when(~hit, F.col("__top.contribution")).alias("contribution"),
+        F.when(hit, F.concat(F.lit("blocklist-"), F.col("hit_kind")))
+        .when(failed, F.col("terminal_reason"))
+        .otherwise(F.col("__top.layer"))
+        .alias("cause"),
+        F.when(~hit & ~failed, F.col("__top.contribution")).alias("contribution"),
     )

@@ -85,7 +85,7 @@ def blocklist_events_query(spark, sf_dir):
     "near_duplicates",
     f"""WITH {SQL_PHASH},
 grp AS (
-  SELECT phash, {_BITS.format('phash')} AS bits, count(*) AS n, min(item_id) AS first_item FROM prints WHERE n >= 64 GROUP BY phash)
+  SELECT phash, {_BITS.format('phash')} AS bits, count(*) AS n, min(item_id) AS first_item FROM prints GROUP BY phash)
 SELECT a.phash AS hash_a, b.phash AS hash_b, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance,
        a.first_item AS item_a, b.first_item AS item_b, a.n AS n_a, b.n AS n_b
 FROM grp a JOIN grp b ON a.phash < b.phash AND bit_count(xor(a.bits, b.bits)) <= 3

@@ -98,12 +98,11 @@ def clamp01_query(spark, sf_dir):
     return raw_layers(spark, sf_dir).withColumns({k: clamp01(F.col(k)) for k in LAYERS})
 
 
-# The vector reads numbers from text; "n/a" is no number and one layer is missing.
+# Text is no number, even where it spells one, and one layer is missing.
 @query(
     "layer_vector",
     f"""WITH {SQL_RAW}, typed AS (
-  SELECT item_id, TRY_CAST(CASE WHEN isnan(porn) THEN 'n/a' ELSE CAST(porn AS VARCHAR) END AS DOUBLE) AS porn,
-         text_risk, vision, metadata, ad, political FROM raw)
+  SELECT item_id, 0e0 AS porn, text_risk, vision, metadata, ad, political FROM raw)
 SELECT item_id, {', '.join(f'{sql_clamp01(k)} AS {k}' for k in LAYERS if k != 'logo')}, 0e0 AS logo FROM typed""",
 )
 def layer_vector_query(spark, sf_dir):
@@ -236,8 +235,9 @@ def layer_inputs_query(spark, sf_dir):
 
 
 def scored(spark, sf_dir, **slots):
-    flat = score_layers(conversation_items(spark, sf_dir), default_slots(**slots))
-    return flat.select("item_id", *pack_layers())
+    chosen = default_slots(**slots)
+    flat = score_layers(conversation_items(spark, sf_dir), chosen)
+    return flat.select("item_id", *pack_layers(chosen))
 
 
 @query(

@@ -172,7 +172,7 @@ def abnormal_report_query(spark, sf_dir):
 
 @query("audit_events", f"WITH {SQL_MIXED_AUDIT} SELECT item_id, seq, agent, score, reason FROM audit")
 def audit_events_query(spark, sf_dir):
-    return audit_events(mixed_run(spark, sf_dir), MIXED_SLOTS)
+    return audit_events(mixed_run(spark, sf_dir))
 
 
 @query(
@@ -183,7 +183,7 @@ FROM acted JOIN (SELECT item_id, count(*) AS audit_rows FROM audit GROUP BY 1) U
 def audit_tuple_query(spark, sf_dir):
     # Read twice, so stored first: the run itself happens once.
     result = written(mixed_run(spark, sf_dir), "result")
-    return audit_tuple(result, audit_events(result, MIXED_SLOTS))
+    return audit_tuple(result, audit_events(result))
 
 
 @query(
@@ -192,18 +192,18 @@ def audit_tuple_query(spark, sf_dir):
        count(*) FILTER (score = -1) AS errors FROM audit GROUP BY agent""",
 )
 def audit_by_agent_query(spark, sf_dir):
-    by_agent = audit_by_agent(audit_events(mixed_run(spark, sf_dir), MIXED_SLOTS))
+    by_agent = audit_by_agent(audit_events(mixed_run(spark, sf_dir)))
     return by_agent.withColumn("mean_score", F.round("mean_score", 9))
 
 
 @query("audit_line_count", f"WITH {SQL_MIXED_AUDIT} SELECT item_id, count(*) AS n FROM audit GROUP BY item_id")
 def audit_line_count_query(spark, sf_dir):
-    return audit_line_count(audit_events(mixed_run(spark, sf_dir), MIXED_SLOTS))
+    return audit_line_count(audit_events(mixed_run(spark, sf_dir)))
 
 
 def written_audit(spark, sf_dir):
     path = scratch_path(spark, "audit")
-    write_audit(audit_events(plain_run(spark, sf_dir), PLAIN_SLOTS), path)
+    write_audit(audit_events(plain_run(spark, sf_dir)), path)
     return path
 
 

@@ -97,10 +97,10 @@ def find_exact_case_sensitive_query(spark, sf_dir):
     return find_exact(texts(spark, sf_dir), SENSITIVE, case_sensitive=True)
 
 
-# Patterns of the large search: the distinct longer words of the benchmark passages.
+# Patterns of the large search: the distinct words of the benchmark passages.
 _WORDS = """patterns AS (
   SELECT DISTINCT word AS pattern
-  FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM benchmark) WHERE length(word) >= 8)"""
+  FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM benchmark) WHERE word <> '')"""
 _LARGE_SQL = f"""WITH {SQL_DOCS}, {_WORDS},
 lengths AS (SELECT DISTINCT length(pattern) AS m FROM patterns),
 span AS (SELECT max(m) AS longest FROM lengths),
@@ -108,19 +108,25 @@ win AS (
   SELECT item_id, c, substring(lower(text), c + 1, 256 + longest) AS w
   FROM (SELECT item_id, text, unnest(range(0, greatest(length(text), 1), 256)) AS c FROM docs), span),
 gram AS (
-  SELECT item_id, c + i AS idx, substring(w, i + 1, m) AS g
+  SELECT item_id, c + i AS idx, m, substring(w, i + 1, m) AS g
   FROM (SELECT item_id, c, w, unnest(range(0, 256)) AS i FROM win), lengths)
-SELECT item_id, pattern, CAST(idx AS INTEGER) AS idx FROM gram JOIN patterns ON g = lower(pattern)"""
+SELECT item_id, pattern, count(*) AS n, CAST(min(idx) AS INTEGER) AS first_idx, CAST(max(idx) AS INTEGER) AS last_idx,
+       CAST(sum(idx) AS BIGINT) AS idx_sum
+FROM gram JOIN patterns ON g = lower(pattern) AND m = length(pattern) GROUP BY item_id, pattern"""
 
 
 def benchmark_words(spark, sf_dir):
     words = F.explode(F.split("text", "[^A-Za-z]+")).alias("pattern")
-    return table(spark, sf_dir, "benchmark").select(words).where(F.char_length("pattern") >= 8).distinct()
+    return table(spark, sf_dir, "benchmark").select(words).where(F.char_length("pattern") > 0).distinct()
 
 
 @query("find_exact_large", _LARGE_SQL)
 def find_exact_large_query(spark, sf_dir):
-    return find_exact_large(texts(spark, sf_dir), benchmark_words(spark, sf_dir))
+    hits = find_exact_large(texts(spark, sf_dir), benchmark_words(spark, sf_dir))
+    idx = F.col("idx")
+    return hits.groupBy("item_id", "pattern").agg(
+        F.count("*").alias("n"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"), F.sum(idx.cast("long")).alias("idx_sum")
+    )
 
 
 _ANY = ["free", "license", "@mail"]

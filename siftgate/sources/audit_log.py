@@ -40,9 +40,9 @@ def write_audit(audit: DataFrame, path: str) -> None:
     lines.write.mode("append").partitionBy("dt").json(path, ignoreNullFields=False)
 
 
-def read_audit(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
-    """Audit rows back from the lines. Lines that hold no audit record are dropped, or
-    kept with their raw text in `_corrupt_record`."""
+def read_audit(spark: SparkSession, path: str, keep_corrupt: bool = True) -> DataFrame:
+    """Audit rows back from the lines. Lines that hold no audit record are kept with their
+    raw text in `_corrupt_record`, null otherwise; or left out, if asked for."""
     line = spark.read.text(path).select("value", F.from_json("value", LINE_SCHEMA).alias("line"))
     broken = F.col("line.message").isNull()
     rows = line.select(

@@ -1,22 +1,17 @@
-"""Reading tables so that a few big files still use all cores."""
+"""Reading tables so that a few small splits still use all cores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def few_files(df: DataFrame) -> bool:
-    """True when a table has fewer files than there are cores."""
-    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
-
-
 def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
-    """Hash-partition a table on its id when it has fewer files than there are cores.
+    """Hash-partition a table on its id when its scan has fewer splits than there are cores.
 
-    A file with one row group is one task, however many cores wait. Tables of many files,
-    as on a cluster, are left as they are: no shuffle. For a stream, `source` is the
-    table it reads.
+    A file with one row group is one task, however many cores wait. What counts are the
+    planned splits, not the files: a few large files have many splits and are left as they
+    are, without a shuffle. For a stream, `source` is the table it reads.
     """
-    if few_files(df if source is None else source):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-    return df
+    splits = (df if source is None else source).rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if splits < cores else df

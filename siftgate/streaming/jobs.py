@@ -65,7 +65,7 @@ def _write_result_and_audit(
     result = f"{result_path}/batch_id={batch_id}"
     screen(batch, blocklist, slots, config, blocklist_fits=fits).write.mode("overwrite").parquet(result)
     # The audit is taken from the written result, so both tell the same story.
-    audit = audit_events(spark.read.parquet(result), slots)
+    audit = audit_events(spark.read.parquet(result))
     audit_lines(audit).write.mode("overwrite").json(
         f"{audit_path}/batch_id={batch_id}", ignoreNullFields=False
     )

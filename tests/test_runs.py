@@ -90,7 +90,7 @@ def test_long_form_contributions_and_vector(spark):
     shares = layer_contribution(fuse(df)).groupBy("item_id").agg(F.sum("share").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in shares)
     vector = layer_vector(spark.createDataFrame([("n/a", "0.5")], "text_risk string, vision string")).first()
-    assert (vector.text_risk, vector.vision, vector.logo) == (0.0, 0.5, 0.0)
+    assert (vector.text_risk, vector.vision, vector.logo) == (0.0, 0.0, 0.0)
 
 
 def test_registry():
@@ -163,7 +163,7 @@ def test_failed_and_cancelled_items(spark, items, blocked, fits):
     }
     assert (rows["normal"].text_risk.score, rows["normal"].text_risk.reason) == (-1.0, "error: cannot read")
     assert (rows["corrupt"].score, rows["corrupt"].reason) == (0.5, "cancelled-before-fusion")
-    assert {r.item_id: r.n for r in audit_line_count(audit_events(result, slots)).collect()} == {
+    assert {r.item_id: r.n for r in audit_line_count(audit_events(result)).collect()} == {
         "normal": 8, "blocked": 2, "corrupt": 8,
     }
     events = {}
@@ -212,9 +212,9 @@ def test_audit_lines(spark, items, blocked, tmp_path):
     write_audit(audit, path)
     day = next((tmp_path / "audit").glob("dt=*"))
     (day / "seed.json").write_text("seed\n")
-    rows = read_audit(spark, path)
+    rows = read_audit(spark, path, keep_corrupt=False)
     assert rows.count() == 40
     assert {tuple(r) for r in rows.select("level", "phase", "message").distinct().collect()} == {("INFO", "AGENT_RUN", "agent.audit")}
-    kept = read_audit(spark, path, keep_corrupt=True).where("_corrupt_record is not null")
+    kept = read_audit(spark, path).where("_corrupt_record is not null")
     assert [r._corrupt_record for r in kept.collect()] == ["seed"]
     assert file_line_count(spark, path).agg(F.sum("n")).first()[0] == 41
