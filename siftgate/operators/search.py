@@ -247,6 +247,32 @@ def regex_start(text: Column, pattern: str) -> Column:
     return F.when(unit > 0, F.when(beyond_bmp, before).otherwise(unit - 1))
 
 
+_OPEN, _CLOSE = "\ufffe", "\uffff"
+
+
+def regex_spans(text: Column, pattern: str) -> Column:
+    """Array of (start, end, hit) of all matches, zero-width ones included, in code points.
+
+    One pass puts a mark around every match, and running lengths of the pieces give the
+    positions. The marks are the two noncharacters U+FFFE and U+FFFF; a text that holds
+    one itself is searched with U+FFFD in its place. The engine works on UTF-16 units: in
+    texts with characters outside the basic plane a pattern that matches nothing (zero
+    width) is also found between such a character's two units, and later places are off.
+    """
+    plain = F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")
+    pieces = F.split(F.regexp_replace(plain, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN, -1)
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    begin = F.struct(F.char_length(F.get(pieces, F.lit(0))).alias("at"), none.alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        hit = F.substring_index(piece, _CLOSE, 1)
+        end = acc["at"] + F.char_length(hit)
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), hit.alias("hit"))
+        return F.struct((acc["at"] + F.char_length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), begin, step, lambda acc: acc["found"])
+
+
 def find_regex(
     items: DataFrame,
     entries: Sequence[tuple[str, str, str]],
@@ -256,7 +282,8 @@ def find_regex(
     """All matches per (pattern, category, severity) entry; entries without a hit give no row.
 
     Patterns are plan constants, so each is compiled once per task. `matches` keeps
-    zero-width matches as empty strings; `first_start` is a 0-based code point.
+    zero-width matches as empty strings; `spans` has the start and end of each as 0-based
+    code points, `first_start` that of the first.
     """
     t = F.col(text)
     rows = [
@@ -265,10 +292,20 @@ def find_regex(
             F.lit(pattern).alias("pattern"),
             F.lit(category).alias("category"),
             F.lit(severity).alias("severity"),
-            F.when(t.rlike(pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).alias("matches"),
-            regex_start(t, pattern).cast("int").alias("first_start"),
+            F.when(t.rlike(pattern), regex_spans(t, pattern)).alias("spans"),
         )
         for no, (pattern, category, severity) in enumerate(entries)
     ]
-    found = items.select(item, F.inline(F.array(*rows))).where(F.col("matches").isNotNull())
-    return found.withColumn("n_matches", F.size("matches"))
+    # Wrapped, so that a filter on the spans does not search the texts a second time.
+    found = items.select(item, F.inline(F.filter(F.array(*rows), lambda e: e["spans"].isNotNull())))
+    return found.select(
+        item, "entry_no", "pattern", "category", "severity", "spans",
+        F.col("spans.hit").alias("matches"),
+        F.col("spans")[0]["start"].alias("first_start"),
+        F.size("spans").alias("n_matches"),
+    )
+
+
+def regex_rows(found: DataFrame, item: str = "item_id") -> DataFrame:
+    """One row (item, entry_no, pattern, start, end, hit) per match of `find_regex`."""
+    return found.select(item, "entry_no", "pattern", F.inline("spans"))

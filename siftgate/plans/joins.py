@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup row here is a few short strings; half a million of them stay well under 100 MB.
+# A lookup table is broadcast up to both bounds.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 100_000_000
 SALTS = 16
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table holds at most `max_rows` rows. Reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the table holds at most `max_rows` rows and, spelled as JSON, `max_bytes`
+    bytes. Reads no further than that many rows."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def lookup_join(

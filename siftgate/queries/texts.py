@@ -153,8 +153,11 @@ def _regex_sql(no, pattern, category, severity):
     p = sql_text(pattern)
     return f"""SELECT item_id, {no} AS entry_no, {p} AS pattern, {sql_text(category)} AS category,
   {sql_text(severity)} AS severity, CAST(len(m) AS INTEGER) AS n_matches,
-  CAST(strpos(text, m[1]) - 1 AS INTEGER) AS first_start, array_to_string(m, '|') AS matches
-FROM (SELECT item_id, text, regexp_extract_all(text, {p}) AS m FROM docs) WHERE len(m) > 0"""
+  CAST(strpos(text, m[1]) - 1 AS INTEGER) AS first_start, array_to_string(m, '|') AS matches,
+  array_to_string(list_transform(range(2, len(s) + 1),
+    lambda i: CAST(list_sum(list_transform(s[1:i - 1], lambda x: length(x))) AS BIGINT) - (i - 2)), '|') AS starts
+FROM (SELECT item_id, text, regexp_extract_all(text, {p}) AS m,
+        string_split(regexp_replace(text, {p}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS s FROM docs) WHERE len(m) > 0"""
 
 
 @query(
@@ -163,7 +166,8 @@ FROM (SELECT item_id, text, regexp_extract_all(text, {p}) AS m FROM docs) WHERE
 )
 def find_regex_query(spark, sf_dir):
     found = find_regex(texts(spark, sf_dir), REGEXES)
-    return found.withColumn("matches", F.array_join("matches", "|"))
+    starts = F.array_join(F.col("spans.start").cast("array<string>"), "|")
+    return found.withColumns({"matches": F.array_join("matches", "|"), "starts": starts}).drop("spans")
 
 
 # "ue" not after "q": the twin hides "que" behind filler of the same length.

@@ -10,7 +10,7 @@ from siftgate.operators.fusion import layer_vector
 from siftgate.operators.matching import Entry, match_wordlist
 from siftgate.operators.messages import request_response
 from siftgate.operators.scorers import python_scorer
-from siftgate.operators.search import contains_any, find_regex, regex_start
+from siftgate.operators.search import contains_any, find_regex, regex_rows, regex_start
 from siftgate.plans.screen import abnormal_report, audit_events, screen
 from siftgate.sources.items import items_from
 
@@ -93,3 +93,13 @@ def test_audit_names_the_scorers_that_ran_and_failures_are_reported(spark):
 
 def test_entries_without_a_word_report_nothing():
     assert matching._first_listed([Entry(None, "c", "s"), Entry("", "c", "s"), Entry("A", "c", "s"), Entry("a", "c", "s")], False) == [Entry("A", "c", "s")]
+
+
+def test_every_regex_match_has_its_place(spark):
+    items = spark.createDataFrame([("1", "éabxb"), ("2", None), ("4", "😀xb"), ("3", "x\ufffey")], "item_id string, text string")
+    got = regex_rows(find_regex(items, [("b*", "c", "s"), ("(?<=x)b", "c", "s"), ("y", "c", "s")]))
+    rows = {}
+    for r in got.orderBy("item_id", "entry_no", "start").collect():
+        rows.setdefault((r.item_id, r.entry_no), []).append((r.start, r.end, r.hit))
+    assert rows[("1", 0)] == [(0, 0, ""), (1, 1, ""), (2, 3, "b"), (3, 3, ""), (4, 5, "b"), (5, 5, "")]
+    assert rows[("1", 1)] == [(4, 5, "b")] and rows[("4", 1)] == [(2, 3, "b")] and rows[("3", 2)] == [(2, 3, "y")] and ("2", 0) not in rows
