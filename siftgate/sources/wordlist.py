@@ -37,8 +37,19 @@ def validate_wordlist(raw: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def read_wordlist(spark, path: str, fmt: str = "json", strict: bool = True) -> DataFrame:
-    """Read a wordlist table with the fixed schema; any invalid entry is an error."""
-    return validate_wordlist(spark.read.schema(SCHEMA).format(fmt).load(path), strict).drop("error")
+    """Read a wordlist table with the fixed schema.
+
+    With strict=True fields that a wordlist does not have are an error at once, and any
+    invalid entry is one when it is read; else unknown fields are left out.
+    """
+    entries = validate_wordlist(spark.read.schema(SCHEMA).format(fmt).load(path), strict)
+    if not strict:
+        return entries.drop("error")
+    unknown = set(spark.read.format(fmt).load(path).columns) - set(entries.columns)
+    if unknown:
+        raise ValueError(f"wordlist: unknown fields {sorted(unknown)}")
+    # As a filter the check stays in the plan; a column that is dropped would not be computed.
+    return entries.where(F.col("error").isNull()).drop("error")
 
 
 def wordlist_terms(wordlist: DataFrame, collation: str | None = "zh_Hans_CHN") -> DataFrame:

@@ -13,6 +13,7 @@ from siftgate.operators.scorers import python_scorer
 from siftgate.operators.search import contains_any, find_regex, regex_rows, regex_start
 from siftgate.plans.screen import abnormal_report, audit_events, screen
 from siftgate.sources.items import items_from
+from siftgate.sources.wordlist import read_wordlist
 
 
 def test_requests_without_correlation_id_time_out(spark):
@@ -103,3 +104,15 @@ def test_every_regex_match_has_its_place(spark):
         rows.setdefault((r.item_id, r.entry_no), []).append((r.start, r.end, r.hit))
     assert rows[("1", 0)] == [(0, 0, ""), (1, 1, ""), (2, 3, "b"), (3, 3, ""), (4, 5, "b"), (5, 5, "")]
     assert rows[("1", 1)] == [(4, 5, "b")] and rows[("4", 1)] == [(2, 3, "b")] and rows[("3", 2)] == [(2, 3, "y")] and ("2", 0) not in rows
+
+
+@pytest.mark.parametrize(
+    "line, problem", [('{"entry_no": 1, "word": "x", "category": "c", "severity": "s", "note": "?"}', "unknown fields"), ('{"entry_no": 1, "word": "x", "category": "c", "severity": "s", "match": "glob"}', "invalid match"), ('{"entry_no": 1, "word": "x", "category": "c", "severity": "s"}', None)]
+)
+def test_read_wordlist_is_strict(spark, tmp_path, line, problem):
+    (tmp_path / "list.json").write_text(line + "\n")
+    if problem is None:
+        assert read_wordlist(spark, str(tmp_path)).collect() == [(1, "x", "c", "s", None)]
+        return
+    with pytest.raises(Exception, match=problem):
+        read_wordlist(spark, str(tmp_path)).collect()
