@@ -95,6 +95,19 @@ def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> Data
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
+def hashed_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """At most `rows` rows, those with the smallest hashes of the keys; the same for each run.
+
+    A share of the hashes is cut off first by the table's count, so the sort that
+    follows gets some `rows` rows in all, not `rows` rows from each partition.
+    """
+    n = df.count()
+    mark = F.xxhash64(*keys)
+    if n > rows:
+        df = df.where(F.pmod(mark, F.lit(1 << 31)) < int(rows / n * (1 << 31)) + 1)
+    return df.orderBy(mark, *keys).limit(rows)
+
+
 class Forest:
     """Union-find over positions 0..n-1 on whole arrays of links."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgate.llm.common import Forest, boundaries, components, dealt, longs, tiled, whole_groups
+from siftgate.llm.common import Forest, boundaries, components, dealt, hashed_sample, longs, tiled, whole_groups
 from siftgate.llm.vectors import doubles, matrix, usable
 from siftgate.plans.scratch import written
 
@@ -39,7 +39,7 @@ SLACK = 1e-9
 
 def principal_axes(distinct: DataFrame) -> dict[int, np.ndarray]:
     """For each length in the sample, its axes as columns, the leading ones first."""
-    rows = distinct.orderBy(F.xxhash64("v"), "node").limit(SAMPLE_ROWS).select("v").toArrow()["v"]
+    rows = hashed_sample(distinct.select("node", "v"), ["node"], SAMPLE_ROWS).toArrow()["v"]
     by_dim: dict[int, list] = {}
     for row in rows:
         by_dim.setdefault(len(row), []).append(row.as_py())

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftgate.llm.common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 BITS = 14
@@ -291,11 +293,11 @@ def find(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     return [(KINDS[k], a, z, b) for k, a, z, b in sorted(out)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    """Train on at most `rows` documents, those with the smallest hashes among the ones with a digit or an at sign."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
+    """Train on at most `rows` documents, those with the smallest hashes of their ids among the ones with a digit or an at sign."""
     text = F.col(text_col)
-    marked = docs.where(text.rlike("[0-9@]")).select(text.alias("t"))
-    sample = marked.orderBy(F.xxhash64("t"), F.length("t")).limit(rows).toArrow()["t"].to_pylist()
+    marked = docs.where(text.rlike("[0-9@]")).select(F.col(id_col).alias("id"), text.alias("t"))
+    sample = hashed_sample(marked, ["id"], rows).toArrow()["t"].to_pylist()
     return train(sorted(sample))
 
 

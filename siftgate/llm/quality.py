@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftgate.llm.common import hashed_sample
+
 BITS = 18
 BUCKETS = 1 << BITS
 DIM = 16
@@ -135,11 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     each run. Labels other than 0 and 1, null ids and labels without a document are ignored.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    picked = (
-        usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-        .orderBy(F.xxhash64("id"), "id", "y")
-        .limit(rows)
-    )
+    picked = hashed_sample(usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), ["id", "y"], rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     found = texts.join(F.broadcast(picked), "id").toArrow()
     order = sorted(range(found.num_rows), key=lambda i: (found["id"][i].as_py(), found["y"][i].as_py()))
