@@ -202,15 +202,29 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     _, _, parts = mix(sizes(numbered, id_col, text_col, source_col, ("__row",)))
-    part = F.struct("from", "words", "times")
-    drawn = parts.groupBy("__row").agg(F.array_sort(F.collect_list(part)).alias("__parts"), F.max("times").alias("__most"), F.min("times").alias("__least"))
+    part = F.struct("from", "times")
+    drawn = parts.groupBy("__row").agg(
+        F.array_sort(F.collect_list(part)).alias("__parts"),
+        (F.min("start") % BLOCK_WORDS).alias("__shift"),
+        F.max("times").alias("__most"),
+        F.min("times").alias("__least"),
+    )
     copies = drawn.where("__most > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __most)")))
-    joined = numbered.join(copies, "__row").withColumn("__words", F.when(F.col("__copy") > F.col("__least"), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))))
-    pieces = F.transform(
-        F.filter("__parts", lambda p: p["times"] >= F.col("__copy")),
-        lambda p: F.array_join(F.slice(F.col("__words"), (p["from"] + 1).cast("int"), p["words"].cast("int")), " "),
+    joined = numbered.join(copies, "__row")
+    # Bound as one value: inside a lambda a column's expression would be evaluated for every word.
+    bound = F.struct(
+        F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("words"),
+        F.col("__parts.times").alias("times"),
+        F.col("__shift").alias("shift"),
+        F.col("__copy").alias("copy"),
     )
-    text = F.when(F.col("__copy") <= F.col("__least"), F.col(text_col)).otherwise(F.array_join(pieces, " "))
+
+    def taken(x: Column) -> Column:
+        block = lambda i: ((x["shift"] + i) / BLOCK_WORDS).cast("int")
+        return F.array_join(F.filter(x["words"], lambda w, i: F.get(x["times"], block(i)) >= x["copy"]), " ")
+
+    part_text = F.get(F.transform(F.array(bound), taken), F.lit(0))
+    text = F.when(F.col("__copy") <= F.col("__least"), F.col(text_col)).otherwise(part_text)
     out = joined.withColumn(text_col, text)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
