@@ -15,6 +15,7 @@ from siftgate.queries.runs import PLAIN_SLOTS, SQL_PLAIN_AUDIT, SQL_SCREEN, flat
 from siftgate.sources.audit_log import read_audit
 from siftgate.sources.tables import spread
 from siftgate.streaming.jobs import (
+    DEFAULT_LATENESS,
     file_stream,
     first_responses,
     stream_audit,
@@ -88,7 +89,7 @@ def stream_request_response_query(spark, sf_dir):
     live = message_rows(stream_of(spark, sf_dir, "events"))
     events = live.unionByName(file_stream(spark, closing, tail.schema))
     sink = run_to_end(
-        lambda out, ck: stream_request_response(events, "check", out, ck, TIMEOUT_MS), spark, "stream-pairs"
+        lambda out, ck: stream_request_response(events, "check", out, ck, TIMEOUT_MS, DEFAULT_LATENESS), spark, "stream-pairs"
     )
     paired = first_responses(spark.read.parquet(sink)).where(F.col("correlation_id") != _CLOSING)
     return paired.select("event_id", "correlation_id", "response_id", "status")

@@ -22,6 +22,9 @@ from siftgate.plans.joins import is_small
 from siftgate.plans.screen import audit_events, screen
 from siftgate.sources.audit_log import audit_lines
 
+# How far behind the newest event seen an event may arrive and still be paired.
+DEFAULT_LATENESS = "1 hour"
+
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -106,11 +109,15 @@ def stream_request_response(
     sink: str,
     checkpoint: str,
     timeout_ms: int = DEFAULT_TIMEOUT_MS,
-    lateness: str = "0 seconds",
+    lateness: str = DEFAULT_LATENESS,
     trigger: Mapping = {"availableNow": True},
 ) -> StreamingQuery:
     """Requests with their responses inside the timeout; a request whose time ran out
-    comes out without one once the watermark has passed it. Later data is dropped."""
+    comes out without one once the watermark has passed it.
+
+    The watermark stays `lateness` behind the newest event. Events may arrive out of order
+    by up to that much in any batch; later ones are dropped. A longer lateness holds more
+    state and delays the time-outs by as much."""
     requests = (
         events.where(F.col("type") == f"{base_type}.request")
         .select("event_id", F.col("correlation_id").alias("c"), "ts")

@@ -1,5 +1,6 @@
 """State and message operators, in batch and on streams."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -122,6 +123,26 @@ def test_stream_pairs_equal_batch(spark, tmp_path):
     assert {(r.event_id, r.response_id) for r in got.collect()} == brute_pairs(rows, 5000)
 
 
+def test_stream_pairs_out_of_order_over_batches(spark, tmp_path):
+    """Six batches, each with events older than those of the batch before."""
+    _, events = messages(spark, 200)
+    closing = spark.createDataFrame([(-1, "t.request", "end", at(9999)), (-2, "t.response", "end", at(9999))], events.schema)
+    shuffled = [events.where(F.pmod(F.hash("event_id"), F.lit(6)) == i) for i in range(6)]
+    os.mkdir(tmp_path / "in")
+    for i, part in enumerate([*shuffled, closing]):
+        part.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (file,) = (tmp_path / f"part{i}").glob("*.parquet")
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+        os.rename(file, tmp_path / "in" / f"{i}.parquet")
+    stream = file_stream(spark, str(tmp_path / "in"), events.schema, maxFilesPerTrigger=1)
+    job = stream_request_response(stream, "t", str(tmp_path / "out"), str(tmp_path / "ck"))
+    job.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in job.recentProgress) >= 7
+    got = first_responses(spark.read.parquet(str(tmp_path / "out"))).where("event_id >= 0")
+    expected = request_response(events, "t", 5000).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_stream_latest_over_two_runs(spark, tmp_path, skewed):
     """Stop after half of the files, go on from the checkpoint, also with the disk-backed store."""
     for key, value in STATE_STORE.items():
