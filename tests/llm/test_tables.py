@@ -158,3 +158,43 @@ def test_pipeline_without_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "none")
     assert docs.count() == 0
+
+
+def test_near_duplicate_stage_is_brute_force_jaccard(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = word(150)
+    texts, base = [], word(300)
+    for changed in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 20, 40):  # similarity 1 down to below 0.3
+        near = list(base)
+        for i in rng.choice(300, changed, replace=False):
+            near[i] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(near))
+    texts += [" ".join(base[:250]), " ".join(base[: 240 + 20]), " ".join(base + word(60))]
+    texts += [" ".join(shared + word(50)) for _ in range(30)]  # shared boilerplate, not similar
+    texts += [" ".join(shared * 20 + word(30)) for _ in range(20)]  # the boilerplate again and again: near 0.7
+    for k in range(20):
+        text = word(40 + 10 * k)
+        texts += [" ".join(text), " ".join(text[: -(k % 5) * 4 or None])]
+    texts += ["", None, " \n", "a b", "A  b", "a b c", "a b c d e f"]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+
+    def plain(t):
+        parts = (t or "").lower().split()
+        return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+    sets = {i: plain(t) for i, t in rows}
+    root = {i: i for i in sets}
+    values = []
+    for i in sets:
+        for j in sets:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if i < j and 5 * both >= 4 * either:
+                values.append(both / max(either, 1))
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert sum(0.8 <= v < 0.9 for v in values) > 5
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, other int").repartition(5)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = stage(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
