@@ -12,6 +12,7 @@ from siftgate.llm.bpe import codec
 from siftgate.llm.embed_dedup import near_duplicates as embed_near_duplicates
 from siftgate.llm.mixing import taken_words
 from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
+from siftgate.llm.prefix_trie import prefix_trie, rebuilt, turns
 from siftgate.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from siftgate.llm.secret_scan import BASE_KINDS, count_kind, spelled, with_secrets
 from siftgate.llm.simhash import near_duplicates
@@ -104,3 +105,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = found.withColumn("base", F.filter("found", lambda s: s["base"]))
     counts = [count_kind(F.col("base"), k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return base.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("found")).alias("spans"))
+
+
+@query("op13_prefix_trie", sql.TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(turns(table(spark, sf_dir, "conversations"))))

@@ -55,3 +55,37 @@ taking AS (
   FROM parts LEFT JOIN times USING (rank, block) GROUP BY rank, start, doc_id, size, source_size, target)
 SELECT * FROM taking UNION ALL SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0
 """
+
+# Unsigned CRC-32 of a decimal id, bit by bit; then paths, nodes and their subtrees by plain joins.
+TRIE = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (
+  SELECT c, count(*) AS n, c - c % 20 AS donor,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], range(8 * length(CAST(c AS VARCHAR)))), lambda v, k:
+      xor((CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), (k // 8 + 1)::INTEGER, 1))::BIGINT) ELSE v END) >> 1,
+        3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), (k // 8 + 1)::INTEGER, 1))::BIGINT) ELSE v END) & 1))), 4294967295) % 4 AS h
+  FROM t GROUP BY c),
+v AS (SELECT s.*, least(s.h, coalesce(d.n, 0)) AS k FROM s LEFT JOIN s d ON d.c = s.donor),
+p0 AS (
+  SELECT v.c, t.i - v.h + v.k AS d, t.r, t.x FROM t JOIN v ON t.c = v.c WHERE t.i > v.h
+  UNION ALL SELECT v.c, t.i, t.r, t.x FROM t JOIN v ON t.c = v.donor WHERE t.i <= v.k
+  UNION ALL SELECT v.c, 0, NULL, NULL FROM v),
+p AS (
+  SELECT c, d, x, coalesce(string_agg(md5(strlen(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY d), '') AS path,
+    lag(d) OVER (PARTITION BY c ORDER BY d DESC) IS NULL AS last FROM p0),
+n AS (
+  SELECT path, d, min(c) AS c, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends,
+    len(regexp_extract_all(coalesce(any_value(x), ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM p GROUP BY path, d),
+kids AS (SELECT left(path, -32) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.path = n.path),
+sums AS (
+  SELECT p.path, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved
+  FROM w JOIN p ON p.c = w.c AND p.d <= w.d GROUP BY p.path)
+SELECT w.c AS conv_id, CAST(w.d AS BIGINT) AS depth, up.c AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN sums ON sums.path = w.path LEFT JOIN n up ON w.d > 0 AND up.path = left(w.path, -32) AND up.d = w.d - 1
+"""
