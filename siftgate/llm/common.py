@@ -66,6 +66,24 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str], rows: i
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def each_group(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """One table per group of a stream in which equal keys follow each other; callers bound their groups."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        at = boundaries(table, keys)
+        for s, e in zip(at[:-1], at[1:]):
+            part = table.slice(s, e - s)
+            if held and any(longs(held[0], k)[0] != longs(part, k)[0] for k in keys):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def tiled(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], chunk_rows: int) -> DataFrame:
     """Copies of the rows, such that any two rows of a group meet in a tile of bounded size.
 

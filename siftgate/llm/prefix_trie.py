@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgate.llm.common import boundaries, longs
+from siftgate.llm.common import each_group, longs
 from siftgate.plans.joins import lookup_join
 from siftgate.plans.scratch import forget, written
 
@@ -193,29 +193,11 @@ def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SHARD = "piece long, p1 long, p2 long, q1 long, q2 long, k1 long, k2 long, depth long, words long, n long, low long, ends string"
 
 
-def _whole(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """One table per group of a sorted stream; callers bound their groups."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        at = boundaries(table, keys)
-        for s, e in zip(at[:-1], at[1:]):
-            part = table.slice(s, e - s)
-            if held and any(longs(held[0], k)[0] != longs(part, k)[0] for k in keys):
-                yield pa.concat_tables(held).combine_chunks()
-                held = []
-            held.append(part)
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
 def _shards(before: dict[int, tuple[int, int, int]]):
     """A piece's rows to one row per slot. `before`: the conversation that a piece goes on with, its digests so far."""
 
     def run(batches):
-        for table in _whole(batches, ["piece"]):
+        for table in each_group(batches, ["piece"]):
             piece = int(longs(table, "piece")[0])
             c, d, words = (longs(table, x) for x in ("c", "d", "words"))
             p = np.stack([_unsigned(table, "p1"), _unsigned(table, "p2")], axis=1).copy()
@@ -255,7 +237,7 @@ def _accumulate(after: dict[int, tuple[int, int, int, int]]):
     """Slots (depth set) and worths (depth null) of a shard to the sums over each slot's subtree."""
 
     def run(batches):
-        for table in _whole(batches, ["piece"]):
+        for table in each_group(batches, ["piece"]):
             piece = int(longs(table, "piece")[0])
             own = table.filter(table.column("is_slot"))
             a, b, depth = _unsigned(own, "p1"), _unsigned(own, "p2"), longs(own, "depth")
