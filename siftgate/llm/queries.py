@@ -11,6 +11,7 @@ from siftgate.llm.ann import nearest
 from siftgate.llm.bpe import codec
 from siftgate.llm.embed_dedup import near_duplicates as embed_near_duplicates
 from siftgate.llm.hard_negatives import hard_negatives
+from siftgate.llm.html_text import main_text
 from siftgate.llm.mixing import taken_words
 from siftgate.llm.quality import THRESHOLD, fit, held_out, scorer
 from siftgate.llm.prefix_trie import prefix_trie, rebuilt, turns
@@ -117,3 +118,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op12_html_text")
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
