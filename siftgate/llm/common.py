@@ -84,17 +84,17 @@ def each_group(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterat
         yield pa.concat_tables(held).combine_chunks()
 
 
-def tiled(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], chunk_rows: int) -> DataFrame:
+def tiled(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], chunk_rows: int, weight: str | None = None) -> DataFrame:
     """Copies of the rows, such that any two rows of a group meet in a tile of bounded size.
 
-    A group of at most `chunk_rows` rows is one tile. A larger one is cut into chunks by a
+    A group of at most `chunk_rows` rows (or that much in the column `weight`) is one tile. A larger one is cut into chunks by a
     hash of `spread_by`, and each pair of chunks is a tile; so no task ever holds a whole
     large group. Adds longs `chunk` (of the row), `lo` and `hi` (the tile's chunks).
     """
     keys = list(keys)
     large = (
         df.groupBy(*keys)
-        .count()
+        .agg((F.sum(weight) if weight else F.count("*")).alias("count"))
         .where(F.col("count") > chunk_rows)
         .select(*keys, F.ceil(F.col("count") * 2 / chunk_rows).alias("chunks"))
     )

@@ -4,12 +4,13 @@ import gzip
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftgate.llm import ann, bpe, embed_dedup, quality, simhash, warc
+from siftgate.llm import ann, bpe, embed_dedup, jaccard, quality, warc
 from siftgate.llm.queries import ORACLES, QUERIES
 from siftgate.plans.scratch import scratch_path
 
@@ -134,6 +135,28 @@ def test_warc_small_payloads_and_no_rows(spark):
     assert warc.read_archive(spark, folder).count() == 0
 
 
+def similar_roots(rows):
+    """The smallest id of each component of five-word Jaccard 0.8, and the similarities of its links, by brute force."""
+
+    def plain(t):
+        parts = (t or "").lower().split()
+        return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+    sets = {i: plain(t) for i, t in rows}
+    root = {i: i for i in sets}
+    values = []
+    for i in sets:
+        for j in sets:
+            if i < j and (small := min(len(sets[i]), len(sets[j]))) * 5 >= 4 * max(len(sets[i]), len(sets[j])):
+                both = len(sets[i] & sets[j])
+                either = len(sets[i]) + len(sets[j]) - both
+                if 5 * both >= 4 * either:
+                    values.append(both / max(either, 1) if small else 1)
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root = {k: new if v == old else v for k, v in root.items()}
+    return sorted(set(root.values())), values
+
+
 def test_pipeline(spark):
     docs = first = spark.read.parquet(f"{SF}/documents.parquet")
     kept = []
@@ -145,8 +168,7 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     score = quality.scorer(first, quality.fit(first, labels))(F.col("text"))
     assert {r.doc_id for r in first.where(score >= 0.3).collect()} == {r.doc_id for r in quality_docs.collect()}
-    groups = simhash.near_duplicates(quality_docs, words=5)
-    assert {r.doc_id for r in single.collect()} == {r.component_id for r in groups.collect()}
+    assert sorted(r.doc_id for r in single.collect()) == similar_roots([(r.doc_id, r.text) for r in quality_docs.collect()])[0]
     assert {r.doc_id for r in masked.collect()} == {r.doc_id for r in single.collect()}
     encoded = corpus_pipeline.STAGES[-1][1](spark, mixed, SF).collect()
     decode = bpe.Automaton(*bpe.load(public_tokenizers.path("byte_bpe_50k.json"))).decode
@@ -179,22 +201,33 @@ def test_near_duplicate_stage_is_brute_force_jaccard(spark):
     texts += ["", None, " \n", "a b", "A  b", "a b c", "a b c d e f"]
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
 
-    def plain(t):
-        parts = (t or "").lower().split()
-        return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
-
-    sets = {i: plain(t) for i, t in rows}
-    root = {i: i for i in sets}
-    values = []
-    for i in sets:
-        for j in sets:
-            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if i < j and 5 * both >= 4 * either:
-                values.append(both / max(either, 1))
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = {k: new if v == old else v for k, v in root.items()}
+    smallest, values = similar_roots(rows)
     assert sum(0.8 <= v < 0.9 for v in values) > 5
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, other int").repartition(5)
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     kept = stage(spark, docs, SF).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
+    assert sorted(r.doc_id for r in kept) == smallest
+
+
+def test_tiles_of_near_copies_return_forests(monkeypatch):
+    rng = np.random.default_rng(6)
+    calls = []
+    monkeypatch.setattr(jaccard, "_common", lambda x, y, old=jaccard._common: calls.append(1) or old(x, y))
+    per_set, rows = [], []
+    for size in (500, 1000, 2000, 4000):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 50)]
+        sets = []
+        for _ in range(size):
+            near = list(base)
+            near[rng.integers(50)] = f"x{rng.integers(10**9)}"
+            sets.append(jaccard.shingles(" ".join(near).encode()))
+        key = pa.array(range(size), pa.int64())
+        table = pa.table({"g": [0] * size, "lo": [0] * size, "hi": [0] * size, "key": key, "root": key, "s": pa.array(sets, pa.list_(pa.int64()))})
+        calls.clear()
+        out = list(jaccard._links_in_tiles(table.to_batches()))
+        per_set.append(len(calls) / size)
+        rows.append(sum(b.num_rows for b in out) / size)
+        bits = pa.array([np.frombuffer(jaccard._bit_map(s, jaccard.BITS), np.int64) for s in sets], pa.list_(pa.int64()))
+        table = table.drop_columns(["g", "s"]).append_column("h", pa.array([0] * size)).append_column("bits", bits).append_column("n", pa.array(map(len, sets), pa.int32()))
+        assert sum(b.num_rows for b in jaccard._likely_in_tiles(table.to_batches())) < 2 * size
+    assert max(rows) < 1 and max(per_set) < 20  # of up to 3,999 partners
