@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's documents are laid end to end in id order and packed into blocks of
-BLOCK_WORDS words. A source's target, in words, is its weight's share of the total, at most
+BLOCK_WORDS words or one less: as many blocks as that takes, at least LEAST_BLOCKS or as
+many as the source has words, so small sources have shorter ones and meet their targets. A source's target, in words, is its weight's share of the total, at most
 CAP times its size; the excess goes to the others by weight until none is above.
-Targets become slots of one block. The slots of all sources are dealt over the output
+Targets become slots of one block, one at least. The slots of all sources are dealt over the output
 shards by a pseudorandom permutation of all slots: the source counts of a shard are thus a
 multinomial draw given the totals, so small sources meet their targets too, which
 independent draws per shard would miss by a fifth where a source has only some 30 slots.
@@ -32,6 +33,7 @@ from siftgate.plans.scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+LEAST_BLOCKS = 64
 WEIGHTS = (5, 2, 1)
 CAP = 3
 CHUNK = 1 << 15
@@ -75,7 +77,9 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per source: rank, source_size, target, blocks, slots, first_slot, all_slots.
+    """One row per source: rank, source_size, target, blocks, short, longer, slots, first_slot, all_slots.
+
+    The first `longer` blocks of a source have short + 1 words, the others `short`.
 
     With sources in order of what they can take per unit of weight, a source is full when
     its limit is below the level that what is left would give it; the level of the first one
@@ -93,10 +97,14 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     )
     open_level = F.max(F.when(F.col("limit") > F.col("level") * F.col("weight"), F.col("level"))).over(W.partitionBy())
     target = F.least(F.col("limit").cast("double"), F.coalesce(open_level * F.col("weight"), F.lit(0.0)))
-    slotted = filled.withColumn("target", target).withColumns(
+    size = F.col("source_size")
+    blocks = F.greatest(F.ceil(size / block_words), F.least(size, F.lit(LEAST_BLOCKS))).cast("long")
+    some = F.greatest(F.floor(F.col("target") * F.col("blocks") / size + 0.5), F.lit(1)).cast("long")
+    slotted = filled.withColumn("target", target).withColumn("blocks", blocks).withColumns(
         {
-            "blocks": F.ceil(F.col("source_size") / block_words).cast("long"),
-            "slots": F.floor(F.col("target") / block_words + 0.5).cast("long"),
+            "short": F.expr("CASE WHEN blocks > 0 THEN source_size div blocks END"),
+            "longer": F.expr("CASE WHEN blocks > 0 THEN source_size % blocks END"),
+            "slots": F.when((F.col("target") > 0) & (size > 0), some).otherwise(0),
         }
     )
     before = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
@@ -106,6 +114,8 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
         "source_size",
         "target",
         "blocks",
+        "short",
+        "longer",
         "slots",
         F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("first_slot"),
         F.sum("slots").over(W.partitionBy()).alias("all_slots"),
@@ -144,13 +154,18 @@ def slot_draws(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     return dealt.select("rank", "block", "pass", F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"))
 
 
-def block_parts(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _block_of(word: str) -> str:
+    """SQL for the block that a source's word is in."""
+    return f"IF({word} < longer * (short + 1), ({word}) div (short + 1), longer + ({word} - longer * (short + 1)) div short)"
+
+
+def block_parts(placed: DataFrame) -> DataFrame:
     """One row per document with words and block that it reaches into, with the words it has there."""
     some = placed.where("size > 0")
-    blocks = F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")
-    parts = some.withColumn("block", F.explode(blocks))
-    first = F.greatest(F.col("start"), F.col("block") * block_words)
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - first
+    parts = some.withColumn("block", F.explode(F.expr(f"sequence({_block_of('start')}, {_block_of('start + size - 1')})")))
+    parts = parts.withColumns({"begin": F.expr("block * short + least(block, longer)"), "end": F.expr("(block + 1) * short + least(block + 1, longer)")})
+    first = F.greatest("start", "begin")
+    words = F.least(F.col("start") + F.col("size"), "end") - first
     return parts.withColumns({"from": first - F.col("start"), "words": words})
 
 
@@ -159,9 +174,9 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHA
     targets = written(source_targets(sized, block_words=block_words), "targets")
     placed = laid_out(sized, targets)
     slots = slot_draws(targets, shard_slots)
-    times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
+    times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
     # The hint: from the few rows of targets Spark would guess that the slots are few, and broadcast them.
-    parts = block_parts(placed, block_words).join(times.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    parts = block_parts(placed).join(times.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return placed, slots, parts
 
 
@@ -170,12 +185,12 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: id, size, source_size, target of its source, words taken."""
+    """One row per row of docs: id, size, source_size, target of its source, words taken, the first shard with any."""
     placed, _, parts = mix(sizes(docs, id_col, text_col, source_col))
     own = ["id", "size", "source_size", "target"]
-    some = parts.groupBy("rank", "start").agg(*[F.first(c).alias(c) for c in own], F.sum(F.col("times") * F.col("words")).alias("taken"))
-    rest = placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
-    return some.select(*own, "taken").unionByName(rest)
+    some = parts.groupBy("rank", "start").agg(*[F.first(c).alias(c) for c in own], F.sum(F.col("times") * F.col("words")).alias("taken"), F.min("first_shard").alias("first_shard"))
+    rest = placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
+    return some.select(*own, "taken", "first_shard").unionByName(rest)
 
 
 def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -183,7 +198,7 @@ def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     placed, slots, _ = mix(sizes(numbered, id_col, text_col, source_col, ("__row",)), block_words)
     words = numbered.select("__row", F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("all"))
-    parts = block_parts(placed, block_words).join(words, "__row")
+    parts = block_parts(placed).join(words, "__row")
     piece = F.slice(F.col("all"), (F.col("from") + 1).cast("int"), F.col("words").cast("int"))
     texts = (
         parts.groupBy("rank", "block")
@@ -202,10 +217,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     _, _, parts = mix(sizes(numbered, id_col, text_col, source_col, ("__row",)))
-    part = F.struct("from", "times")
+    part = F.struct("from", "times", "words")
     drawn = parts.groupBy("__row").agg(
         F.array_sort(F.collect_list(part)).alias("__parts"),
-        (F.min("start") % BLOCK_WORDS).alias("__shift"),
         F.max("times").alias("__most"),
         F.min("times").alias("__least"),
     )
@@ -214,14 +228,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Bound as one value: inside a lambda a column's expression would be evaluated for every word.
     bound = F.struct(
         F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("words"),
-        F.col("__parts.times").alias("times"),
-        F.col("__shift").alias("shift"),
+        F.flatten(F.transform("__parts", lambda p: F.array_repeat(p["times"], p["words"].cast("int")))).alias("times"),
         F.col("__copy").alias("copy"),
     )
 
     def taken(x: Column) -> Column:
-        block = lambda i: ((x["shift"] + i) / BLOCK_WORDS).cast("int")
-        return F.array_join(F.filter(x["words"], lambda w, i: F.get(x["times"], block(i)) >= x["copy"]), " ")
+        return F.array_join(F.filter(x["words"], lambda w, i: F.get(x["times"], i) >= x["copy"]), " ")
 
     part_text = F.get(F.transform(F.array(bound), taken), F.lit(0))
     text = F.when(F.col("__copy") <= F.col("__least"), F.col(text_col)).otherwise(part_text)

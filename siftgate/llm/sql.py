@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftgate.llm.mixing import BLOCK_WORDS, CAP, P, WEIGHTS, round_keys
+from siftgate.llm.mixing import BLOCK_WORDS, CAP, LEAST_BLOCKS, SHARD_SLOTS, WEIGHTS, P, round_keys
 
 WS = "[^\\x20\\x09-\\x0D]+"
 
@@ -19,6 +19,7 @@ def _permuted(rows: str, out: str, x: str, n: str, seed: str) -> str:
 
 
 _WEIGHT = f"[{', '.join(map(str, WEIGHTS))}][(rank - 1) % {len(WEIGHTS)} + 1]"
+_BLOCK_OF = "CASE WHEN {0} < longer * (short + 1) THEN {0} // (short + 1) ELSE longer + ({0} - longer * (short + 1)) // short END"
 
 MIX = f"""
 WITH sized AS (
@@ -35,25 +36,30 @@ levelled AS (
 aimed AS (
   SELECT *, least(CAST(lim AS DOUBLE), coalesce(max(CASE WHEN lim > level * weight THEN level END) OVER () * weight, 0e0)) AS target
   FROM levelled),
+cut AS (SELECT *, CAST(greatest(ceil(source_size / {BLOCK_WORDS}), least(source_size, {LEAST_BLOCKS})) AS BIGINT) AS blocks FROM aimed),
 slotted AS (
-  SELECT *, CAST(ceil(source_size / {BLOCK_WORDS}) AS BIGINT) AS blocks, CAST(floor(target / {BLOCK_WORDS} + 0.5e0) AS BIGINT) AS slots FROM aimed),
-targets AS (SELECT * FROM slotted),
+  SELECT *, CASE WHEN blocks > 0 THEN source_size // blocks END AS short, CASE WHEN blocks > 0 THEN source_size % blocks END AS longer,
+    CASE WHEN target > 0 AND source_size > 0 THEN greatest(CAST(floor(target * blocks / source_size + 0.5e0) AS BIGINT), 1) ELSE 0 END AS slots FROM cut),
+targets AS (
+  SELECT *, CAST(coalesce(sum(slots) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_slot,
+    CAST(sum(slots) OVER () AS BIGINT) AS all_slots FROM slotted),
 each AS (
-  SELECT rank, blocks, k // blocks AS pass, k % blocks AS r
-  FROM (SELECT rank, blocks, unnest(range(slots)) AS k FROM targets WHERE slots > 0)),
+  SELECT rank, blocks, all_slots, k // blocks AS pass, k % blocks AS r, first_slot + k AS u
+  FROM (SELECT *, unnest(range(slots)) AS k FROM targets WHERE slots > 0)),
 drawn AS (SELECT * FROM {_permuted('each', 'block', 'r', 'blocks', 'rank * 64 + pass + 1')}),
-times AS (SELECT rank, block, count(*) AS times FROM drawn GROUP BY rank, block),
+dealt AS (SELECT * FROM {_permuted('drawn', 'spot', 'u', 'all_slots', '0')}),
+times AS (SELECT rank, block, count(*) AS times, min(spot // {SHARD_SLOTS}) AS first_shard FROM dealt GROUP BY rank, block),
 placed AS (
-  SELECT doc_id, size, rank, source_size, target,
+  SELECT doc_id, size, rank, source_size, target, short, longer,
     CAST(sum(size) OVER (PARTITION BY rank ORDER BY doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
 parts AS (
-  SELECT *, least(start + size, (block + 1) * {BLOCK_WORDS}) - greatest(start, block * {BLOCK_WORDS}) AS words
-  FROM (SELECT *, unnest(range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)) AS block FROM placed WHERE size > 0)),
+  SELECT *, least(start + size, (block + 1) * short + least(block + 1, longer)) - greatest(start, block * short + least(block, longer)) AS words
+  FROM (SELECT *, unnest(range({_BLOCK_OF.format('start')}, {_BLOCK_OF.format('(start + size - 1)')} + 1)) AS block FROM placed WHERE size > 0)),
 taking AS (
-  SELECT doc_id, size, source_size, target, CAST(sum(coalesce(times, 0) * words) AS BIGINT) AS taken
+  SELECT doc_id, size, source_size, target, CAST(sum(coalesce(times, 0) * words) AS BIGINT) AS taken, min(first_shard) AS first_shard
   FROM parts LEFT JOIN times USING (rank, block) GROUP BY rank, start, doc_id, size, source_size, target)
-SELECT * FROM taking UNION ALL SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0
+SELECT * FROM taking UNION ALL SELECT doc_id, size, source_size, target, 0, NULL FROM placed WHERE size = 0
 """
 
 # Unsigned CRC-32 of a decimal id, bit by bit; then paths, nodes and their subtrees by plain joins.
