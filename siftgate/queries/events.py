@@ -42,13 +42,13 @@ def state_rows(events, key):
 _STEPS = ", ".join(f"('{a}', '{b}')" for a, b in (*TRANSITIONS, FAST_PATH_STEP))
 
 
-@query(
-    "check_transitions",
-    f"""WITH {SQL_STATES}, allowed(from_state, to_state) AS (VALUES {_STEPS}),
+SQL_ILLEGAL = f"""WITH {SQL_STATES}, allowed(from_state, to_state) AS (VALUES {_STEPS}),
 steps AS (SELECT user_key, event_id, lag(state) OVER (PARTITION BY user_key ORDER BY ts, event_id) AS from_state, state AS to_state FROM states)
 SELECT user_key, event_id, from_state, to_state FROM steps ANTI JOIN allowed USING (from_state, to_state)
-WHERE from_state IS NOT NULL""",
-)
+WHERE from_state IS NOT NULL"""
+
+
+@query("check_transitions", SQL_ILLEGAL)
 def check_transitions_query(spark, sf_dir):
     allowed = transition_table(spark, [FAST_PATH_STEP])
     return check_transitions(states(spark, sf_dir), allowed, key="user_key").drop("ts")

@@ -7,23 +7,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftgate.constants import FAST_PATH_STEP, TRANSITIONS
 from siftgate.operators.states import latest_checkpoint
 from siftgate.plans.scratch import scratch_path
 from siftgate.queries.base import blocklist, document_items, query, table
-from siftgate.queries.events import SQL_LATEST, SQL_PAIRED, TIMEOUT_MS, message_rows, state_rows
+from siftgate.queries.events import SQL_ILLEGAL, SQL_LATEST, SQL_PAIRED, TIMEOUT_MS, message_rows, state_rows
 from siftgate.queries.runs import PLAIN_SLOTS, SQL_PLAIN_AUDIT, SQL_SCREEN, flat
 from siftgate.sources.audit_log import read_audit
 from siftgate.sources.tables import spread
 from siftgate.streaming.jobs import (
-    DEFAULT_LATENESS,
     file_stream,
-    first_responses,
     stream_audit,
     stream_dedup,
     stream_latest_state,
-    stream_request_response,
     stream_screen,
 )
+from siftgate.streaming.keyed import stream_illegal_transitions, stream_request_response
 
 
 def stream_of(spark, sf_dir, name):
@@ -67,32 +66,41 @@ def stream_audit_query(spark, sf_dir):
     return read_audit(spark, f"{sink}/audit").select("item_id", "agent", "score", "reason")
 
 
-_CLOSING = "closing"
+LATENESS_HOURS = 1
 
 
-def closing_messages(spark, sf_dir):
-    """One request and its response past the last event, so that time runs out for all
-    open requests. Taken from the table's newest time."""
-    last = message_rows(table(spark, sf_dir, "events")).agg(F.max("ts").alias("ts"))
-    kinds = F.explode(F.array(F.lit("check.request"), F.lit("check.response"))).alias("type")
-    later = F.col("ts") + F.expr(f"INTERVAL {3 * TIMEOUT_MS} MILLISECONDS")
-    return last.select(
-        F.lit(-1).cast("bigint").alias("event_id"), later.alias("ts"), kinds, F.lit(_CLOSING).alias("correlation_id")
-    )
+def with_closing_event(events, rows, spark, name, wait_ms):
+    """The stream with one more event, later than all others by the lateness and wait_ms: the watermark
+    passes all that is open. The event is of the newest row's kind; its id is -1."""
+    path = scratch_path(spark, name)
+    later = F.expr(f"ts + INTERVAL {wait_ms + LATENESS_HOURS * 3_600_000 + 1000} MILLISECONDS")
+    rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).withColumns({"ts": later, "event_id": F.lit(-1).cast("bigint")}).write.parquet(path)
+    return events.unionByName(file_stream(spark, path, rows.schema))
 
 
 @query("stream_request_response", SQL_PAIRED)
 def stream_request_response_query(spark, sf_dir):
-    closing = scratch_path(spark, "closing")
-    tail = closing_messages(spark, sf_dir)
-    tail.write.parquet(closing)
-    live = message_rows(stream_of(spark, sf_dir, "events"))
-    events = live.unionByName(file_stream(spark, closing, tail.schema))
+    requests = message_rows(table(spark, sf_dir, "events")).where("type = 'check.request'")
+    events = with_closing_event(message_rows(stream_of(spark, sf_dir, "events")), requests, spark, "closing", TIMEOUT_MS)
+    sink = run_to_end(
+        lambda out, ck: stream_request_response(events, "check", out, ck, TIMEOUT_MS, f"{LATENESS_HOURS} hours"), spark, "stream-pairs"
+    )
+    return spark.read.parquet(sink).where("event_id >= 0").select("event_id", "correlation_id", "response_id", "status")
+
+
+@query("stream_illegal_transitions", SQL_ILLEGAL)
+def stream_illegal_transitions_query(spark, sf_dir):
+    """Alerts on the steps of users, whose events arrive as the file has them."""
+    newest = state_rows(table(spark, sf_dir, "events"), F.lit("day"))
+    events = with_closing_event(state_rows(stream_of(spark, sf_dir, "events"), F.lit("day")), newest, spark, "closing", 0)
     sink = run_to_end(
-        lambda out, ck: stream_request_response(events, "check", out, ck, TIMEOUT_MS, DEFAULT_LATENESS), spark, "stream-pairs"
+        lambda out, ck: stream_illegal_transitions(
+            events, [*TRANSITIONS, FAST_PATH_STEP], out, ck, key="user_key", lateness=f"{LATENESS_HOURS} hours"
+        ),
+        spark,
+        "stream-steps",
     )
-    paired = first_responses(spark.read.parquet(sink)).where(F.col("correlation_id") != _CLOSING)
-    return paired.select("event_id", "correlation_id", "response_id", "status")
+    return spark.read.parquet(sink).where("event_id >= 0").select("user_key", "event_id", "from_state", "to_state")
 
 
 @query("stream_latest_state", f"WITH {SQL_LATEST} SELECT item_id, state, event_id FROM latest")

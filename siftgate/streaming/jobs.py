@@ -1,7 +1,7 @@
-"""Screening, audit, request pairing, latest state and deduplication on streams.
+"""Screening, audit, latest state and deduplication on streams.
 
 Every function starts a query and returns it. Checkpoints belong in the shared folder.
-Keyed state can outgrow executor memory: set STATE_STORE on the session before starting.
+Keyed state can outgrow executor memory: set `keyed.STATE_STORE` on the session before starting.
 """
 
 from __future__ import annotations
@@ -15,23 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from siftgate.operators.fusion import DEFAULT_FUSION, FusionConfig
-from siftgate.operators.messages import DEFAULT_TIMEOUT_MS
 from siftgate.operators.scorers import Scorer
 from siftgate.operators.states import ORDER
 from siftgate.plans.joins import is_small
 from siftgate.plans.screen import audit_events, screen
 from siftgate.sources.audit_log import audit_lines
 
-# How far behind the newest event seen an event may arrive and still be paired.
-DEFAULT_LATENESS = "1 hour"
-
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-}
-
-
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", **options) -> DataFrame:
     """A stream over files. A single file is given as a pattern, as the source lists folders."""
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
@@ -103,52 +92,6 @@ def stream_audit(
     )
 
 
-def stream_request_response(
-    events: DataFrame,
-    base_type: str,
-    sink: str,
-    checkpoint: str,
-    timeout_ms: int = DEFAULT_TIMEOUT_MS,
-    lateness: str = DEFAULT_LATENESS,
-    trigger: Mapping = {"availableNow": True},
-) -> StreamingQuery:
-    """Requests with their responses inside the timeout; a request whose time ran out
-    comes out without one once the watermark has passed it.
-
-    The watermark stays `lateness` behind the newest event. Events may arrive out of order
-    by up to that much in any batch; later ones are dropped. A longer lateness holds more
-    state and delays the time-outs by as much."""
-    requests = (
-        events.where(F.col("type") == f"{base_type}.request")
-        .select("event_id", F.col("correlation_id").alias("c"), "ts")
-        .withWatermark("ts", lateness)
-    )
-    responses = (
-        events.where(F.col("type") == f"{base_type}.response")
-        .select(F.col("event_id").alias("response_id"), F.col("correlation_id").alias("rc"), F.col("ts").alias("response_ts"))
-        .withWatermark("response_ts", lateness)
-    )
-    limit = F.expr(f"INTERVAL {timeout_ms} MILLISECONDS")
-    in_time = (F.col("response_ts") >= F.col("ts")) & (F.col("response_ts") <= F.col("ts") + limit)
-    joined = requests.join(responses, (F.col("c") == F.col("rc")) & in_time, "leftOuter")
-    out = joined.select("event_id", F.col("c").alias("correlation_id"), "ts", "response_id", "response_ts")
-    return _append(out, sink, checkpoint, trigger)
-
-
-def first_responses(paired: DataFrame) -> DataFrame:
-    """Of the rows written by `stream_request_response` the first response per request."""
-    reply = F.when(F.col("response_id").isNotNull(), F.struct(F.col("response_ts").alias("ts"), F.col("response_id").alias("event_id")))
-    first = paired.groupBy("event_id", "correlation_id", "ts").agg(F.min(reply).alias("answer"))
-    return first.select(
-        "event_id",
-        "correlation_id",
-        "ts",
-        F.col("answer.event_id").alias("response_id"),
-        F.col("answer.ts").alias("response_ts"),
-        F.when(F.col("answer").isNull(), "timed-out").otherwise("answered").alias("status"),
-    )
-
-
 def stream_latest_state(
     events: DataFrame,
     sink: str,

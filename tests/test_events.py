@@ -14,7 +14,8 @@ from siftgate.operators.ordering import previous_in_key
 from siftgate.operators.states import check_transitions, latest_checkpoint, next_state, resume_plan, terminal_items, transition_table
 from siftgate.plans.joins import lookup_join
 from siftgate.plans.scratch import scratch_path
-from siftgate.streaming.jobs import STATE_STORE, file_stream, first_responses, stream_latest_state, stream_request_response
+from siftgate.streaming.jobs import file_stream, stream_latest_state
+from siftgate.streaming.keyed import STATE_STORE, stream_illegal_transitions, stream_request_response
 
 START = datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, item_id string, state string, ts timestamp"
@@ -112,37 +113,83 @@ def test_request_response(spark, timeout):
     assert all((r.status == "answered") == (r.response_id is not None) for r in got)
 
 
-def test_stream_pairs_equal_batch(spark, tmp_path):
-    rows, events = messages(spark, 200)
-    closing = [(-1, "t.request", "end", at(9999)), (-2, "t.response", "end", at(9999))]
-    everything = events.unionByName(spark.createDataFrame(closing, events.schema))
-    everything.write.parquet(str(tmp_path / "in"))
-    stream = file_stream(spark, str(tmp_path / "in"), events.schema)
-    stream_request_response(stream, "t", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = first_responses(spark.read.parquet(str(tmp_path / "out"))).where("event_id >= 0")
-    assert {(r.event_id, r.response_id) for r in got.collect()} == brute_pairs(rows, 5000)
+def in_batches(spark, folder, parts):
+    """A stream that takes one part per batch, in this order."""
+    os.mkdir(folder / "in")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(folder / f"part{i}"))
+        (file,) = (folder / f"part{i}").glob("*.parquet")
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+        os.rename(file, folder / "in" / f"{i}.parquet")
+    return file_stream(spark, str(folder / "in"), parts[0].schema, maxFilesPerTrigger=1)
+
+
+def shuffled(events, n=6):
+    """Parts each of which has events older than those of the part before."""
+    return [events.where(F.pmod(F.hash("event_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def rows_in_state(job):
+    return job.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
 
 
-def test_stream_pairs_out_of_order_over_batches(spark, tmp_path):
-    """Six batches, each with events older than those of the batch before."""
+@pytest.mark.parametrize("timeout", [5000, 300])  # with 300 ms an id's requests are in many blocks
+def test_stream_pairs_equal_batch_over_shuffled_batches(spark, tmp_path, timeout):
     _, events = messages(spark, 200)
-    closing = spark.createDataFrame([(-1, "t.request", "end", at(9999)), (-2, "t.response", "end", at(9999))], events.schema)
-    shuffled = [events.where(F.pmod(F.hash("event_id"), F.lit(6)) == i) for i in range(6)]
-    os.mkdir(tmp_path / "in")
-    for i, part in enumerate([*shuffled, closing]):
-        part.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
-        (file,) = (tmp_path / f"part{i}").glob("*.parquet")
-        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
-        os.rename(file, tmp_path / "in" / f"{i}.parquet")
-    stream = file_stream(spark, str(tmp_path / "in"), events.schema, maxFilesPerTrigger=1)
-    job = stream_request_response(stream, "t", str(tmp_path / "out"), str(tmp_path / "ck"))
+    nobody = spark.createDataFrame([(9000, "t.request", None, at(1)), (9001, "t.response", None, at(1))], events.schema)
+    events = events.union(nobody)
+    closing = spark.createDataFrame([(-1, "t.request", "end", at(9999))], events.schema)
+    stream = in_batches(spark, tmp_path, [*shuffled(events), closing])
+    job = stream_request_response(stream, "t", str(tmp_path / "out"), str(tmp_path / "ck"), timeout)
     job.awaitTermination()
     assert sum(p["numInputRows"] > 0 for p in job.recentProgress) >= 7
-    got = first_responses(spark.read.parquet(str(tmp_path / "out"))).where("event_id >= 0")
-    expected = request_response(events, "t", 5000).select(*got.columns)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    expected = request_response(events, "t", timeout).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert rows_in_state(job) <= 4  # the closing request's state and timer; all else is freed
+
+
+def test_stream_pairs_drop_late_answers_and_time_out_without_them(spark, tmp_path):
+    schema = "event_id bigint, type string, correlation_id string, ts timestamp"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    parts = [
+        frame((1, "t.request", "a", at(0)), (2, "t.request", "b", at(0)), (3, "t.response", "b", at(2))),
+        frame((4, "t.request", "x", at(1000))),  # the watermark goes to 990
+        frame((6, "t.request", "y", at(1001))),
+        frame((5, "t.response", "a", at(1))),  # in time by its own time, but late
+        frame((7, "t.request", "z", at(2000))),
+    ]
+    stream = in_batches(spark, tmp_path, parts)
+    stream_request_response(stream, "t", str(tmp_path / "out"), str(tmp_path / "ck"), 5000, "10 seconds").awaitTermination()
+    got = {r.event_id: (r.response_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (None, "timed-out"), 2: (3, "answered"), 4: (None, "timed-out"), 6: (None, "timed-out")}
+
+
+def test_stream_pairs_go_on_from_a_checkpoint(spark, tmp_path):
+    _, events = messages(spark, 100)
+    closing = spark.createDataFrame([(-1, "t.request", "end", at(9999))], events.schema)
+    for part in (*shuffled(events, 2), closing):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = file_stream(spark, str(tmp_path / "in"), events.schema)
+        stream_request_response(stream, "t", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    expected = request_response(events, "t").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
+def test_stream_alerts_equal_check_transitions_over_shuffled_batches(spark, tmp_path, skewed):
+    nulls = spark.createDataFrame([(9000, None, "init", at(1)), (9001, None, "done", at(2)), (9002, "k1", None, at(3))], SCHEMA)
+    events = skewed.union(nulls)
+    closing = spark.createDataFrame([(-1, "end", "init", at(9999))], SCHEMA)
+    allowed = transition_table(spark, [FAST_PATH_STEP])
+    pairs = [tuple(r) for r in allowed.collect()]
+    stream = in_batches(spark, tmp_path, [*shuffled(events, 4), closing])
+    stream_illegal_transitions(stream, pairs, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    expected = check_transitions(events, allowed).select(*got.columns)
+    assert got.count() > 1000 and sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_stream_latest_over_two_runs(spark, tmp_path, skewed):
     """Stop after half of the files, go on from the checkpoint, also with the disk-backed store."""
     for key, value in STATE_STORE.items():
