@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgate.constants import SEVERITY_WEIGHTS
 from siftgate.functions.clamp import clamp01
 from siftgate.functions.text import match_text
-from siftgate.operators.search import find_exact_large, regex_start, row_key
+from siftgate.operators.search import GRAM_BYTES, GRAM_PATTERNS, find_exact_large, gram_table, regex_start, row_key
 from siftgate.plans.joins import is_small
 
-# Exact entries up to here are searched in place; a longer list is joined.
+# Exact entries up to here are searched in place; a longer list is a search table or joined.
 LITERAL_ENTRIES = 500
+# Regex entries are plan constants, each a pass over the text: more of them are refused.
+REGEX_ENTRIES = 200
 
 MATCHED = (
     "array<struct<word:string,category:string,severity:string,"
@@ -23,6 +27,9 @@ MATCHED = (
 )
 
 
+FOUND = "array<struct<start:int,end:int,word:string,category:string,severity:string,match:string>>"
+
+
 @dataclass(frozen=True)
 class Entry:
     word: str
@@ -103,6 +110,67 @@ def wordlist_entries(wordlist: DataFrame | Sequence[Entry], limit: int = LITERAL
     return [Entry(r.word, r.category, r.severity, r.match) for r in rows]
 
 
+def _is_regex() -> Column:
+    return F.coalesce(F.col("match") == "regex", F.lit(False))
+
+
+def _regex_entries(wordlist: DataFrame, case_sensitive: bool) -> list[Entry]:
+    """The regex entries of a wordlist table in listed order, each once; an error if they are too many."""
+    rows = wordlist.where(_is_regex() & (F.char_length("word") > 0)).orderBy("entry_no").limit(REGEX_ENTRIES + 1).collect()
+    if len(rows) > REGEX_ENTRIES:
+        raise ValueError(f"more than {REGEX_ENTRIES} regex entries; join them into alternations or split the list")
+    return _first_listed([Entry(r.word, r.category, r.severity, "regex") for r in rows], case_sensitive)
+
+
+def _exact_entries(wordlist: DataFrame, case_sensitive: bool) -> DataFrame:
+    """(pattern, e): one row per distinct folded word with the first entry listed for it."""
+    fold = F.col("word") if case_sensitive else F.lower("word")
+    exact = wordlist.where(~_is_regex() & (F.char_length("word") > 0)).withColumn("pattern", fold)
+    return exact.groupBy("pattern").agg(F.min_by(F.struct("word", "category", "severity"), "entry_no").alias("e"))
+
+
+class WordlistIndex:
+    """A wordlist table as a search table that every worker holds; works on batches and streams.
+
+    `of` gives None for a list beyond the bounds of a search table.
+    """
+
+    def __init__(self, patterns: Sequence[str], entries: Sequence[Sequence[str]], regexes: Sequence[Entry], total: int, case_sensitive: bool, spark):
+        self.total, self.regexes, self.case_sensitive = total, regexes, case_sensitive
+        shared = gram_table(spark, patterns)
+        word, category, severity = (pa.array([e[i] for e in entries], pa.string()) for i in range(3))
+        chars = np.array([len(p) for p in patterns], np.int64)
+
+        @F.arrow_udf(FOUND)
+        def found(texts: pa.Array) -> pa.Array:
+            row, pattern, place = shared.value.firsts(texts)
+            at = pa.array(pattern)
+            start, end = (pa.array(x.astype(np.int32)) for x in (place, place + chars[pattern]))
+            columns = [start, end, word.take(at), category.take(at), severity.take(at), pa.array(["exact"] * len(row), pa.string())]
+            structs = pa.StructArray.from_arrays(columns, ["start", "end", "word", "category", "severity", "match"])
+            ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), structs)
+
+        self._found = found if len(patterns) else None
+
+    @classmethod
+    def of(cls, wordlist: DataFrame, case_sensitive: bool = False) -> WordlistIndex | None:
+        exact = _exact_entries(wordlist, case_sensitive)
+        if not is_small(exact, GRAM_PATTERNS, GRAM_BYTES):
+            return None
+        rows = sorted(exact.collect())
+        regexes = _regex_entries(wordlist, case_sensitive)
+        return cls([r.pattern for r in rows], [r.e for r in rows], regexes, wordlist.count(), case_sensitive, wordlist.sparkSession)
+
+    def matched(self, text: Column) -> Column:
+        """`matched` for one text column that already went through `match_text`; empty for null."""
+        found = F.array().cast(FOUND) if self._found is None else self._found(text)
+        if self.regexes:
+            candidates = F.array(*[_candidate(text, e, self.case_sensitive) for e in self.regexes])
+            found = F.concat(found, F.filter(candidates, lambda m: m["start"].isNotNull()))
+        return _in_order(found)
+
+
 def match_score(n: Column, total: Column) -> Column:
     """Share of the entries that matched; 0 for an empty wordlist."""
     return F.when(total == 0, F.lit(0.0)).otherwise(clamp01(n / total))
@@ -119,10 +187,14 @@ def match_wordlist(
     first occurrence; entries without a word report nothing but count in the total."""
     entries = wordlist_entries(wordlist)
     normalised = items.select(item, match_text(F.col(text), case_sensitive).alias("__t"))
-    if entries is None:
-        return _match_large(normalised, wordlist, case_sensitive, item)
-    found = normalised.select(item, matched_in(F.col("__t"), entries, case_sensitive).alias("matched"))
-    total = F.lit(len(entries))
+    if entries is not None:
+        matched, total = matched_in(F.col("__t"), entries, case_sensitive), F.lit(len(entries))
+    else:
+        index = WordlistIndex.of(wordlist, case_sensitive)
+        if index is None:
+            return _match_large(normalised, wordlist, case_sensitive, item)
+        matched, total = index.matched(F.col("__t")), F.lit(index.total)
+    found = normalised.select(item, matched.alias("matched"))
     return found.select(
         item, "matched", total.alias("total"), match_score(F.size("matched"), total).alias("score")
     )
@@ -133,14 +205,24 @@ def _match_large(rows: DataFrame, wordlist: DataFrame, case_sensitive: bool, nam
     # Rows equal in id and text are searched once; results come back to every row.
     normalised, item = keyed.select("__key", "__t").dropDuplicates(["__key"]), "__key"
     total = wordlist.count()
-    is_regex = F.coalesce(F.col("match") == "regex", F.lit(False))
-    fold = F.col("word") if case_sensitive else F.lower("word")
-    exact = (
-        wordlist.where(~is_regex & (F.char_length("word") > 0))
-        .withColumn("pattern", fold)
-        .groupBy("pattern")
-        .agg(F.min_by(F.struct("word", "category", "severity"), "entry_no").alias("e"))
+    per_item = matched_per_key(normalised, wordlist, case_sensitive)
+    n = F.lit(total)
+    return (
+        keyed.select("__key", name)
+        .join(per_item, item, "left")
+        .select(
+            name,
+            F.coalesce("matched", F.array().cast(MATCHED)).alias("matched"),
+            n.cast("int").alias("total"),
+            match_score(F.coalesce(F.size("matched"), F.lit(0)), n).alias("score"),
+        )
     )
+
+
+def matched_per_key(normalised: DataFrame, wordlist: DataFrame, case_sensitive: bool) -> DataFrame:
+    """(__key, matched) of the rows (__key, __t) with any match, for a wordlist of any size."""
+    item = "__key"
+    exact = _exact_entries(wordlist, case_sensitive)
     hits = find_exact_large(normalised, exact.select("pattern"), True, item=item, text="__t")
     firsts = hits.groupBy(item, "pattern").agg(F.min("idx").alias("start"))
     if is_small(exact):
@@ -156,11 +238,7 @@ def _match_large(rows: DataFrame, wordlist: DataFrame, case_sensitive: bool, nam
             F.lit("exact").alias("match"),
         ).alias("m"),
     )
-    # Regular expressions stay plan constants; they are written by hand and few.
-    listed = wordlist.where(is_regex).orderBy("entry_no").collect()
-    regexes = _first_listed(
-        [Entry(r.word, r.category, r.severity, "regex") for r in listed], case_sensitive
-    )
+    regexes = _regex_entries(wordlist, case_sensitive)
     found = exact_found
     if regexes:
         regex_found = normalised.select(
@@ -168,18 +246,7 @@ def _match_large(rows: DataFrame, wordlist: DataFrame, case_sensitive: bool, nam
         ).where(F.col("m.start").isNotNull())
         found = found.unionByName(regex_found)
     # At most one row per entry and item, so the list per item is no longer than the wordlist.
-    per_item = found.groupBy(item).agg(_in_order(F.collect_list("m")).alias("matched"))
-    n = F.lit(total)
-    return (
-        keyed.select("__key", name)
-        .join(per_item, item, "left")
-        .select(
-            name,
-            F.coalesce("matched", F.array().cast(MATCHED)).alias("matched"),
-            n.cast("int").alias("total"),
-            match_score(F.coalesce(F.size("matched"), F.lit(0)), n).alias("score"),
-        )
-    )
+    return found.groupBy(item).agg(_in_order(F.collect_list("m")).alias("matched"))
 
 
 def match_rows(matched: DataFrame, item: str = "item_id") -> DataFrame:

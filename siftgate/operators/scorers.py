@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftgate.constants import DEFAULT_SCORE, DEFAULT_SCORER_IDS, LAYERS, SPECIALISED_TARGETS
 from siftgate.functions.text import match_text
-from siftgate.operators.matching import Entry, matched_in, severity_score
+from siftgate.operators.matching import MATCHED, Entry, WordlistIndex, matched_in, severity_score
 
 Inputs = Mapping[str, Column]
 
@@ -102,21 +102,33 @@ def metadata_default() -> Scorer:
     )
 
 
-def wordlist_scorer(entries: Sequence[Entry], scorer_id: str = "text-risk-wordlist") -> Scorer:
-    """Text score from a wordlist: severity_score of the matched entries."""
+def wordlist_scorer(entries: Sequence[Entry] | WordlistIndex, scorer_id: str = "text-risk-wordlist") -> Scorer:
+    """Text score from a wordlist: severity_score of the matched entries.
+
+    A short list goes into the plan; an index of a wordlist table is held by the workers.
+    """
+    matched = entries.matched if isinstance(entries, WordlistIndex) else lambda text: matched_in(text, entries)
     return Scorer(
         scorer_id,
         "0.1.0",
-        lambda i: outcome(
-            severity_score(i["matched"]), "wordlist-match", details={"matched_words": i["matched"]}
-        ),
+        wordlist_outcome,
         [
             lambda i: {"normal": match_text(i["ocr_text"])},
-            lambda i: {"matched": matched_in(i["normal"], entries)},
+            lambda i: {"matched": matched(i["normal"])},
         ],
     )
 
 
+def wordlist_outcome(inputs: Inputs) -> Column:
+    """The text outcome of rows whose `matched` is known."""
+    return outcome(severity_score(inputs["matched"]), "wordlist-match", details={"matched_words": inputs["matched"]})
+
+
+def matched_elsewhere(scorer_id: str = "text-risk-wordlist") -> Scorer:
+    """Stands in for a wordlist scorer whose `matched` is joined later: an outcome of the same type."""
+    return Scorer(scorer_id, "0.1.0", lambda i: wordlist_outcome({"matched": F.array().cast(MATCHED)}))
+
+
 def native_scorer(scorer_id: str, fn: Callable[[Inputs], Column], reason: str, error=None) -> Scorer:
     """A score from built-in functions. `error` may give a message column, null when fine."""
     return Scorer(scorer_id, "0.1.0", lambda i: outcome(fn(i), reason, error(i) if error else None))

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siftgate.functions.text import text_windows
+from siftgate.operators.grams import GramTable
 from siftgate.plans.joins import is_small, lookup_join
 from siftgate.plans.scratch import written
 
 # Up to here a pattern list is written into the plan as literals.
 LITERAL_PATTERNS = 64
+# A pattern table up to both bounds becomes one search table that every worker holds.
+GRAM_PATTERNS = 200_000
+GRAM_BYTES = 20_000_000
 # Distinct anchors up to here become one hash-set test per text position.
 LITERAL_ANCHORS = 20_000
+# Hits that a worker returns in one batch.
+HITS = 100_000
 ANCHOR_LENGTH = 6
 WINDOW = 256
 ANCHOR_WINDOW = 64
@@ -65,23 +74,53 @@ def find_exact(
 
     Returns (item, pattern, idx): pattern as listed, idx = 0-based code point in the
     searched text. A pattern listed twice is reported twice. strategy: "literal" puts the
-    patterns into the plan, "join" keeps them a table, "auto" decides by their number.
+    patterns into the plan and refuses more than LITERAL_PATTERNS, "table" gives every worker
+    a search table where the patterns fit, else joins as "join" does; "auto" decides by their number.
     """
     spark = items.sparkSession
     if not isinstance(patterns, DataFrame):
         patterns = spark.createDataFrame([(p,) for p in patterns], "pattern string")
-    if strategy == "auto":
-        strategy = "literal" if is_small(patterns, LITERAL_PATTERNS) else "join"
+    few = strategy in ("auto", "literal") and is_small(patterns, LITERAL_PATTERNS)
+    if strategy == "literal" and not few:
+        raise ValueError(f"more than {LITERAL_PATTERNS} patterns do not go into the plan")
     table = _pattern_table(patterns, case_sensitive)
-    if strategy == "literal":
+    if few:
         listed = [(r.folded, r.pattern, r.times) for r in table.collect()]
         return _find_literal(items, listed, case_sensitive, item, text)
+    table = written(table, "patterns")
+    if strategy != "join" and is_small(table, GRAM_PATTERNS, GRAM_BYTES):
+        return _find_grams(items, table, case_sensitive, item, text)
     return _find_join(items, table, case_sensitive, item, text)
 
 
 def find_exact_large(items: DataFrame, patterns: DataFrame, case_sensitive: bool = False, **names) -> DataFrame:
     """`find_exact` for pattern tables of any size."""
-    return find_exact(items, patterns, case_sensitive, strategy="join", **names)
+    return find_exact(items, patterns, case_sensitive, strategy="table", **names)
+
+
+def gram_table(spark: SparkSession, patterns: Sequence[str]):
+    """A search table for the workers, of a list within the bounds."""
+    return spark.sparkContext.broadcast(GramTable(patterns))
+
+
+def _find_grams(items: DataFrame, table: DataFrame, case_sensitive: bool, item: str, text: str) -> DataFrame:
+    spark = items.sparkSession
+    folded = sorted({r.folded for r in table.select("folded").collect()})
+    shared = gram_table(spark, folded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pattern, place = shared.value.search(batch.column(1))
+            for s in range(0, len(row), HITS):
+                some = slice(s, s + HITS)
+                columns = [batch.column(0).take(pa.array(row[some])), pa.array(pattern[some].astype(np.int32)), pa.array(place[some].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [item, "__no", "idx"])
+
+    searched = items.select(item, _fold(F.col(text), case_sensitive).alias("__t"))
+    schema = StructType([items.schema[item], StructField("__no", IntegerType()), StructField("idx", IntegerType())])
+    numbers = spark.createDataFrame(list(enumerate(folded)), "__no int, folded string")
+    named = table.join(F.broadcast(numbers), "folded").select("__no", "pattern", "times")
+    return _expand(searched.mapInArrow(run, schema).join(F.broadcast(named), "__no"), item)
 
 
 def _positions(window: Column, word: str) -> Column:
@@ -149,7 +188,6 @@ def _find_literal(
 def _find_join(
     items: DataFrame, table: DataFrame, case_sensitive: bool, item: str, text: str
 ) -> DataFrame:
-    table = written(table, "patterns")
     shape = table.select(F.max(F.char_length("folded")).alias("longest")).first()
     if shape.longest is None:
         return items.select(item, F.lit("").alias("pattern"), F.lit(0).alias("idx")).where(F.lit(False))

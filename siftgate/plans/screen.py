@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftgate.constants import DEFAULT_SCORE, FUSION_ID, LAYERS, PREPROCESS_ID
 from siftgate.functions.clamp import clamp_unit
+from siftgate.functions.text import match_text
 from siftgate.operators.blocklist import blocklist_lookup
 from siftgate.operators.fusion import (
     DEFAULT_FUSION,
@@ -20,7 +21,18 @@ from siftgate.operators.fusion import (
     placeholder,
     score_to_action,
 )
-from siftgate.operators.scorers import PARTS, Scorer, default_slots, pack_layers, score_layers
+from siftgate.operators.matching import MATCHED, WordlistIndex, matched_per_key
+from siftgate.operators.scorers import (
+    PARTS,
+    Scorer,
+    default_slots,
+    matched_elsewhere,
+    pack_layers,
+    score_layers,
+    wordlist_outcome,
+    wordlist_scorer,
+)
+from siftgate.operators.search import row_key
 from siftgate.plans.joins import is_small, lookup_join
 from siftgate.plans.preprocess import preprocess_status, with_facts
 from siftgate.plans.scratch import written
@@ -48,6 +60,7 @@ def screen(
     config: FusionConfig = DEFAULT_FUSION,
     cancel_requests: DataFrame | None = None,
     blocklist_fits: bool | None = None,
+    wordlist: DataFrame | WordlistIndex | None = None,
 ) -> DataFrame:
     """Fingerprint, blocklist, seven layer scores, fusion: one row per item (RESULT).
 
@@ -56,10 +69,22 @@ def screen(
     first, bytes and text are dropped, and only hashes and scores move.
     cancel_requests (item_id, reason): items stopped before fusion.
     blocklist_fits: the answer to the size check when the caller has it already.
+    wordlist (entry_no, word, category, severity, match): the text layer's list, in place of its
+    slot. Within the bounds of a search table the workers hold it and the items still do
+    not move. A larger one is searched in a job of its own; its matches come back per
+    item key after bytes and text are dropped.
     """
+    index = WordlistIndex.of(wordlist) if isinstance(wordlist, DataFrame) else wordlist
+    far = wordlist is not None and index is None
+    if wordlist is not None:
+        slots = {**(slots or {}), "text_risk": matched_elsewhere() if far else wordlist_scorer(index)}
     slots = default_slots(**(slots or {}))
     facts = with_facts(items)
     slim = ["item_id", "md5", "phash", "header"]
+    outcomes = [f"{layer}_{part}" for layer in LAYERS for part in PARTS]
+    if far:
+        facts = facts.withColumn("__key", row_key("item_id", "ocr_text"))
+        slim.append("__key")
     found = ["hit_hash", "hit_kind"]
     hit = F.col("hit_kind").isNotNull()
     fits = is_small(blocklist) if blocklist_fits is None else blocklist_fits
@@ -67,9 +92,14 @@ def screen(
         looked = blocklist_lookup(facts, blocklist, fits=True)
         scored = score_layers(looked, slots, unless=hit)
     else:
-        outcomes = [f"{layer}_{part}" for layer in LAYERS for part in PARTS]
         layers = score_layers(facts, slots).select(*slim, *outcomes)
         scored = blocklist_lookup(layers, blocklist, fits=False)
+    if far:
+        text = F.coalesce("ocr_text", F.lit(""))
+        texts = items.select(row_key("item_id", "ocr_text").alias("__key"), match_text(text).alias("__t"))
+        scored = lookup_join(scored.select(*slim, *found, *outcomes), matched_per_key(texts, wordlist, False), ["__key"], "left", ["item_id"])
+        texted = wordlist_outcome({"matched": F.coalesce("matched", F.array().cast(MATCHED))})
+        scored = scored.withColumns({f"text_risk_{part}": texted[part] for part in PARTS})
     scored = scored.selectExpr(*slim, *found, *[c for layer in LAYERS for c in _mask_skipped(layer)])
     if cancel_requests is None:
         scored = scored.withColumn("__cancel", F.lit(None).cast("string")).withColumn("__stop", F.lit(False))

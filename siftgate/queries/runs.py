@@ -28,6 +28,7 @@ from siftgate.queries.base import (
     item_key,
     items,
     query,
+    sql_entries,
     table,
 )
 from siftgate.queries.layers import sql_action
@@ -147,6 +148,31 @@ def screen_query(spark, sf_dir):
     return flat(plain_run(spark, sf_dir))
 
 
+# The distinct words of the benchmark passages as a wordlist table of thousands of entries.
+_LISTED = """listed(entry_no, word, category, severity, match) AS (
+  SELECT 0, word, 'benchmark', CASE length(word) % 3 WHEN 0 THEN '原则性错误' WHEN 1 THEN '一般错误' ELSE '提示' END, NULL
+  FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) > 2)"""
+SQL_SCREEN_TABLE = SQL_SCREEN.replace(sql_entries(), _LISTED)
+
+
+def wordlist_table(spark, sf_dir):
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    named = table(spark, sf_dir, "benchmark").select(words.alias("word")).where(F.char_length("word") > 2).distinct()
+    kind = F.char_length("word") % 3
+    return named.select(
+        F.lit(0).alias("entry_no"),
+        "word",
+        F.lit("benchmark").alias("category"),
+        F.when(kind == 0, "原则性错误").when(kind == 1, "一般错误").otherwise("提示").alias("severity"),
+        F.lit(None).cast("string").alias("match"),
+    )
+
+
+@query("screen_wordlist", SQL_SCREEN_TABLE)
+def screen_wordlist_query(spark, sf_dir):
+    return flat(screen(items(spark, sf_dir), blocklist(spark, sf_dir), wordlist=wordlist_table(spark, sf_dir)))
+
+
 @query(
     "review_queue",
     f"""WITH {SQL_MIXED} SELECT item_id, score, reason, terminal_state FROM acted WHERE action = 'REVIEW'""",

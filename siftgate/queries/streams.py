@@ -12,7 +12,7 @@ from siftgate.operators.states import latest_checkpoint
 from siftgate.plans.scratch import scratch_path
 from siftgate.queries.base import blocklist, document_items, query, table
 from siftgate.queries.events import SQL_ILLEGAL, SQL_LATEST, SQL_PAIRED, TIMEOUT_MS, message_rows, state_rows
-from siftgate.queries.runs import PLAIN_SLOTS, SQL_PLAIN_AUDIT, SQL_SCREEN, flat
+from siftgate.queries.runs import PLAIN_SLOTS, SQL_PLAIN_AUDIT, SQL_SCREEN, SQL_SCREEN_TABLE, flat, wordlist_table
 from siftgate.sources.audit_log import read_audit
 from siftgate.sources.tables import spread
 from siftgate.streaming.jobs import (
@@ -51,6 +51,14 @@ def stream_screen_query(spark, sf_dir):
     return flat(spark.read.parquet(sink))
 
 
+@query("stream_screen_wordlist", SQL_SCREEN_TABLE)
+def stream_screen_wordlist_query(spark, sf_dir):
+    docs = document_items(document_stream(spark, sf_dir))
+    blocked, words = blocklist(spark, sf_dir), wordlist_table(spark, sf_dir)
+    sink = run_to_end(lambda out, ck: stream_screen(docs, blocked, out, ck, wordlist=words), spark, "stream-screen")
+    return flat(spark.read.parquet(sink))
+
+
 @query(
     "stream_audit",
     f"WITH {SQL_PLAIN_AUDIT} SELECT item_id, agent, score, reason FROM audit",

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from siftgate.operators.fusion import DEFAULT_FUSION, FusionConfig
+from siftgate.operators.matching import WordlistIndex
 from siftgate.operators.scorers import Scorer
 from siftgate.operators.states import ORDER
 from siftgate.plans.joins import is_small
@@ -45,17 +46,28 @@ def stream_screen(
     slots: Mapping[str, Scorer] | None = None,
     config: FusionConfig = DEFAULT_FUSION,
     trigger: Mapping = {"availableNow": True},
+    wordlist: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Screen items as they arrive. Stateless; the blocklist is a static side."""
-    return _append(screen(items, blocklist, slots, config), sink, checkpoint, trigger)
+    """Screen items as they arrive. Stateless; blocklist and wordlist are static sides, and the
+    wordlist must be within the bounds of a search table."""
+    return _append(screen(items, blocklist, slots, config, wordlist=_index(wordlist)), sink, checkpoint, trigger)
+
+
+def _index(wordlist: DataFrame | None) -> WordlistIndex | None:
+    if wordlist is None:
+        return None
+    index = WordlistIndex.of(wordlist)
+    if index is None:
+        raise ValueError("the wordlist is too large for a stream: screen in batches, which join it")
+    return index
 
 
 def _write_result_and_audit(
-    batch: DataFrame, batch_id: int, blocklist, fits, slots, config, result_path: str, audit_path: str
+    batch: DataFrame, batch_id: int, blocklist, fits, slots, config, wordlist, result_path: str, audit_path: str
 ) -> None:
     spark = batch.sparkSession
     result = f"{result_path}/batch_id={batch_id}"
-    screen(batch, blocklist, slots, config, blocklist_fits=fits).write.mode("overwrite").parquet(result)
+    screen(batch, blocklist, slots, config, blocklist_fits=fits, wordlist=wordlist).write.mode("overwrite").parquet(result)
     # The audit is taken from the written result, so both tell the same story.
     audit = audit_events(spark.read.parquet(result))
     audit_lines(audit).write.mode("overwrite").json(
@@ -72,6 +84,7 @@ def stream_audit(
     slots: Mapping[str, Scorer] | None = None,
     config: FusionConfig = DEFAULT_FUSION,
     trigger: Mapping = {"availableNow": True},
+    wordlist: DataFrame | None = None,
 ) -> StreamingQuery:
     """Screen and write results and audit lines per batch. A repeated batch overwrites its
     own folders, so nothing is counted twice."""
@@ -81,6 +94,7 @@ def stream_audit(
         fits=is_small(blocklist),
         slots=slots,
         config=config,
+        wordlist=_index(wordlist),
         result_path=result_path,
         audit_path=audit_path,
     )

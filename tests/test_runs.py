@@ -15,6 +15,7 @@ from siftgate.operators.fusion import (
     layer_vector,
     score_to_action,
 )
+from siftgate.operators import matching, search
 from siftgate.operators.matching import Entry
 from siftgate.operators.scorers import (
     ScorerRegistry,
@@ -38,6 +39,7 @@ from siftgate.plans.screen import (
 )
 from siftgate.sources.audit_log import audit_line_count, file_line_count, read_audit, write_audit
 from siftgate.sources.items import items_from
+from siftgate.streaming.jobs import stream_screen
 
 NAN, INF = float("nan"), float("inf")
 LAYER_SCHEMA = "item_id string, " + ", ".join(f"{k} double" for k in LAYERS)
@@ -218,3 +220,52 @@ def test_audit_lines(spark, items, blocked, tmp_path):
     kept = read_audit(spark, path).where("_corrupt_record is not null")
     assert [r._corrupt_record for r in kept.collect()] == ["seed"]
     assert file_line_count(spark, path).agg(F.sum("n")).first()[0] == 41
+
+
+LISTED = [
+    Entry("free", "promotion", "一般错误"),
+    Entry("FREE", "shouting", "原则性错误"),
+    Entry("包邮", "shipping", "原则性错误", "exact"),
+    Entry("(?<!不)包邮", "shipping", "提示", "regex"),
+    Entry("", "none", "提示"),
+    Entry("a long phrase of many words", "phrase", "提示"),
+]
+READ = [("a", "Free shipping 包邮"), ("b", "不包邮 f r e e"), ("c", None), ("c", "a long phrase of many words"), (None, "free"), ("e", "😀free 包邮")]
+
+
+@pytest.mark.parametrize("form", ["index", "joined"])
+@pytest.mark.parametrize("blocklist_fits", [True, False])
+def test_screen_with_a_wordlist_table_equals_the_literal_list(spark, monkeypatch, form, blocklist_fits):
+    if form == "joined":
+        monkeypatch.setattr(matching, "GRAM_PATTERNS", 0)
+        monkeypatch.setattr(search, "GRAM_PATTERNS", 0)
+    read = spark.createDataFrame(READ, "item_id string, text string")
+    items = items_from(read, "item_id", content=F.encode(F.coalesce("text", F.lit("")), "UTF-8"), ocr_text=F.col("text"))
+    blocked = spark.createDataFrame([("0" * 32, "md5")], "hash string, kind string")
+    rows = [(i, e.word, e.category, e.severity, e.match) for i, e in enumerate(LISTED)]
+    table = spark.createDataFrame(rows, "entry_no int, word string, category string, severity string, match string")
+    expected = screen(items, blocked, {"text_risk": wordlist_scorer(LISTED)}, blocklist_fits=blocklist_fits)
+    got = screen(items, blocked, wordlist=table, blocklist_fits=blocklist_fits)
+    assert got.columns == expected.columns and got.schema["text_risk"].dataType.simpleString() == expected.schema["text_risk"].dataType.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_match_wordlist_forms_agree(spark, monkeypatch, bound):
+    read = spark.createDataFrame(READ, "item_id string, text string")
+    expected = sorted(map(str, matching.match_wordlist(read, LISTED).collect()))
+    monkeypatch.setattr(matching, "wordlist_entries", lambda wordlist, limit=0: None)
+    monkeypatch.setattr(matching, "GRAM_PATTERNS", bound)
+    rows = [(i, e.word, e.category, e.severity, e.match) for i, e in enumerate(LISTED)]
+    table = spark.createDataFrame(rows, "entry_no int, word string, category string, severity string, match string")
+    assert sorted(map(str, matching.match_wordlist(read, table).collect())) == expected
+    monkeypatch.setattr(matching, "REGEX_ENTRIES", 0)
+    with pytest.raises(ValueError, match="regex"):
+        matching.match_wordlist(read, table).collect()
+
+
+def test_streams_refuse_a_wordlist_beyond_the_bounds(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(matching, "GRAM_PATTERNS", 0)
+    table = spark.createDataFrame([(0, "a", "c", "s", None)], "entry_no int, word string, category string, severity string, match string")
+    with pytest.raises(ValueError, match="too large for a stream"):
+        stream_screen(None, None, str(tmp_path), str(tmp_path), wordlist=table)

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from siftgate.operators.matching import (
     match_wordlist,
     severity_score,
 )
-from siftgate.operators import matching, search
+from siftgate.operators import grams, matching, search
 from siftgate.operators.search import contains_any, find_exact, find_exact_large, find_regex
 from siftgate.sources.wordlist import validate_wordlist, wordlist_category_counts, wordlist_terms
 
@@ -74,7 +75,7 @@ TEXTS = [
 PATTERNS = ["ABC", "AB", "BC", "aa", "包邮", "京东", "", "foo", "AB", "(a+)", "quequeque"]
 
 
-@pytest.mark.parametrize("strategy", ["literal", "join"])
+@pytest.mark.parametrize("strategy", ["literal", "table", "join"])
 def test_find_exact_equals_brute_force(spark, strategy):
     items = spark.createDataFrame(TEXTS, "item_id string, text string")
     got = find_exact(items, PATTERNS, strategy=strategy)
@@ -87,6 +88,7 @@ def test_find_exact_equals_brute_force(spark, strategy):
 def test_find_exact_large_beyond_bounds(spark, monkeypatch, rows, anchors):
     """Past the broadcast and literal bounds the joins shuffle and the prefilter goes."""
     monkeypatch.setattr(search, "LITERAL_ANCHORS", anchors)
+    monkeypatch.setattr(search, "GRAM_PATTERNS", 0)
     real = search.lookup_join
     monkeypatch.setattr(search, "lookup_join", lambda *a, **k: real(*a, **k, max_rows=rows))
     items = spark.createDataFrame(TEXTS, "item_id string, text string")
@@ -95,10 +97,36 @@ def test_find_exact_large_beyond_bounds(spark, monkeypatch, rows, anchors):
     assert sorted(map(tuple, got.collect())) == brute(TEXTS, PATTERNS)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_gram_table_is_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(grams, "CHUNK", chunk)
+    rng = random.Random(5)
+    letters = "ab\0é京😀"
+    texts = [None, "", *("".join(rng.choices(letters, [5, 5, 1, 1, 1, 1], k=rng.randrange(60))) for _ in range(60)), "ab" * 40]
+    patterns = {"".join(rng.choices(letters, [5, 5, 1, 1, 1, 1], k=rng.randrange(1, 14))) for _ in range(120)}
+    patterns |= {"ab" * n for n in range(1, 15)} | {"b" * n for n in (1, 7, 8, 9, 16)}
+    patterns = sorted(patterns)
+    table = grams.GramTable(patterns)
+    expected = sorted((r, p, i) for r, t in enumerate(texts) for p, w in enumerate(patterns) for i in range(len(t or "")) if t.startswith(w, i))
+    array = pa.array(["x", *texts])[1:]  # a slice: its buffer starts before it
+    assert sorted(zip(*map(list, table.search(array)))) == expected
+    firsts = {}
+    for r, p, i in expected:
+        firsts.setdefault((r, p), i)
+    assert {(r, p): i for r, p, i in zip(*map(list, table.firsts(array)))} == firsts
+    assert len(grams.GramTable([]).search(array)[0]) == 0 and len(table.search(array[:0])[0]) == 0
+
+
+def test_find_exact_refuses_many_literals(spark):
+    items = spark.createDataFrame(TEXTS, "item_id string, text string")
+    with pytest.raises(ValueError, match="patterns"):
+        find_exact(items, [f"p{i}" for i in range(65)], strategy="literal")
+
+
 def test_find_exact_without_patterns(spark):
     items = spark.createDataFrame(TEXTS, "item_id string, text string")
     assert find_exact(items, []).count() == 0
-    assert find_exact(items, [""], strategy="join").count() == 0
+    assert find_exact(items, [""], strategy="join").count() == find_exact_large(items, spark.createDataFrame([("",)], "pattern string")).count() == 0
 
 
 def test_contains_any(spark, monkeypatch):
