@@ -47,6 +47,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from siftgate.plans.joins import lookup_join
+from siftgate.plans.scratch import written
+
 # Names and marks of the archive format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,7 +57,8 @@ END = b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
 WRITTEN = "page_id long, target_uri string, payload binary, record_type string, refers_to long"
 READ = "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-MANIFEST = "_manifest.json"
+# Each commit adds a manifest of its own; the archive is what all of them name.
+MANIFEST = "_manifest"
 DATE = "2000-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
 PUSHED = {"record_type", "page_id", "target_uri", "payload_digest", "refers_to"}
@@ -137,7 +141,7 @@ class Writer(DataSourceWriter):
         fs, base = opened(self.folder)
         fs.create_dir(base, recursive=True)
         names = sorted(n for m in messages if m is not None for n in m.names)
-        with fs.open_output_stream(f"{base}/{MANIFEST}") as out:
+        with fs.open_output_stream(f"{base}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(names).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -217,8 +221,11 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[Files]:
         fs, base = opened(self.folder)
-        with fs.open_input_stream(f"{base}/{MANIFEST}") as f:
-            names = json.loads(f.read())
+        names = []
+        for info in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path):
+            if info.base_name.startswith(MANIFEST):
+                with fs.open_input_stream(info.path) as f:
+                    names += json.loads(f.read())
         return [Files(f"{base}/{n}") for n in names] or [Files("")]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -269,13 +276,15 @@ def archive_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Rows of WRITTEN. Payloads shorter than min_revisit_bytes are all responses.
 
     Equal payloads meet by digest and length; the largest id per digest is found with
-    partial maxima, so a payload shared by very many pages is no hot group there.
+    partial maxima, so a payload shared by very many pages is no hot group there. Only
+    payloads that occur more than once are looked up: by a broadcast of their digests while
+    those are few, so payloads do not move, else by a join salted per digest.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     keyed = rows.withColumns({"key": F.sha1("payload"), "size": F.octet_length("payload")})
-    best = keyed.where(F.col("size") >= min_revisit_bytes).groupBy("key", "size").agg(F.max("page_id").alias("kept"))
-    joined = keyed.join(best, ["key", "size"], "left")
+    best = keyed.where(F.col("size") >= min_revisit_bytes).groupBy("key", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    joined = lookup_join(keyed, written(best.where("n > 1").drop("n"), "kept"), ["key", "size"], "left", salt_by=["page_id", "target_uri"])
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return joined.select(
         "page_id",

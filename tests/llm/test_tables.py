@@ -119,6 +119,13 @@ def test_warc_round_trip(spark):
     assert sum(gzip.open(p).read().count(b"WARC/1.1\r\n") for p in parts) == len(rows)
 
 
+def test_warc_appends_keep_earlier_records(spark):
+    folder = scratch_path(spark, "warc-test")
+    for ids in ((1, 2), (3,), ()):
+        warc.write_archive(pages(spark, [(i, "u", f"text {i}") for i in ids]), folder)
+    assert sorted(r.page_id for r in warc.read_archive(spark, folder, ("page_id",)).collect()) == [1, 2, 3]
+
+
 def test_warc_pushes_filters_down(spark):
     folder = scratch_path(spark, "warc-test")
     warc.write_archive(pages(spark, [(i, "u", "same" if i % 2 else str(i)) for i in range(20)]), folder)
