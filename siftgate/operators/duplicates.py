@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgate.functions.hashing import byte_grid_hash, hamming_bits, hash_bits
-from siftgate.plans.joins import is_small
+from siftgate.plans.components import components, spanning_forest
+from siftgate.plans.joins import is_small, lookup_join
 from siftgate.plans.scratch import written
 
 BITS = 64
@@ -151,3 +155,75 @@ def near_duplicates(
         F.col("x.n").alias("n_a"),
         F.col("y.n").alias("n_b"),
     )
+
+
+TILE_ROWS = 8_192
+
+
+def _tile_links(max_distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        key = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            bits = np.concatenate(held).view(np.uint64)
+            near = lambda lo, hi: np.bitwise_count(bits[lo:hi, None] ^ bits[None, :]) <= max_distance
+            i, j = spanning_forest(near, len(bits))
+            signed = bits.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], ["a", "b"])
+
+        for batch in batches:
+            tiles = batch.column("tile").to_numpy()
+            bits = batch.column("bits").to_numpy()
+            cuts = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+            for tile, part in zip(tiles[np.concatenate([[0], cuts])] if len(tiles) else [], np.split(bits, cuts)):
+                if held and tile != key:
+                    yield from links()
+                    held.clear()
+                key = tile
+                held.append(part)
+        if held:
+            yield from links()
+
+    return run
+
+
+def near_hash_groups(hashes: DataFrame, max_distance: int) -> DataFrame:
+    """(bits, root) of distinct 64-bit hashes (column `bits`): root is the smallest hash reached by steps
+    of at most max_distance bits. Exact for every distance.
+
+    Hashes meet in buckets that share some bit blocks. A bucket is cut into tiles in which
+    any two of its members meet; a tile returns the forest of its links, so that what
+    leaves it is linear in its members however close they lie.
+    """
+    keys = _bucket_keys(hashes, _block_masks(max_distance))
+    sizes = keys.groupBy("mask_no", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select("mask_no", "key", F.ceil(F.col("n") * 2 / TILE_ROWS).alias("chunks"), (F.col("n") > TILE_ROWS).alias("large"))
+    counted = lookup_join(keys, sizes, ["mask_no", "key"], "inner", salt_by=["bits"])
+    counted = counted.withColumn("chunks", F.when(F.col("large"), F.col("chunks")).otherwise(1))
+    chunk = F.pmod(F.xxhash64("bits"), "chunks")
+    tiled = counted.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    tile = F.xxhash64("mask_no", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    dealt = tiled.select(tile.alias("tile"), "bits").repartition("tile").sortWithinPartitions("tile", "bits")
+    # Two tiles of one hash would only be compared with each other's members as well.
+    linked = components(dealt.mapInArrow(_tile_links(max_distance), "a long, b long"))
+    out = hashes.join(linked.withColumnRenamed("node", "bits"), "bits", "left")
+    return out.select("bits", F.coalesce("root", "bits").alias("root"))
+
+
+def near_duplicate_groups(items: DataFrame, max_distance: int = 3, item: str = "item_id", content: str = "content") -> DataFrame:
+    """Groups of near duplicates as membership: (item, phash, group_item, n_items, n_hashes), one row per item with bytes.
+
+    A group is what steps of at most max_distance bits connect; group_item is its smallest
+    item id. Linear in the items: no pairs are formed.
+    """
+    printed = items.where(F.col(content).isNotNull()).select(item, byte_grid_hash(F.col(content)).alias("phash"))
+    printed = written(printed.withColumn("bits", hash_bits(F.col("phash"))), "hashes")
+    hashes = written(printed.groupBy("bits").agg(F.count("*").alias("n"), F.min(item).alias("first_item")), "hash-groups")
+    roots = written(near_hash_groups(hashes.select("bits"), max_distance), "roots")
+    groups = hashes.join(roots, "bits").groupBy("root").agg(
+        F.min("first_item").alias("group_item"), F.sum("n").alias("n_items"), F.count("*").alias("n_hashes")
+    )
+    of = lookup_join(roots, groups, ["root"], "inner", salt_by=["bits"])
+    named = lookup_join(printed, written(of, "groups"), ["bits"], "inner", salt_by=[item])
+    return named.select(item, "phash", "group_item", "n_items", "n_hashes")

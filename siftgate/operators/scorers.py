@@ -6,9 +6,11 @@ its layer. A non-null error marks the item as failed in that layer.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,49 +141,134 @@ def column_scorer(scorer_id: str, column: str, reason: str) -> Scorer:
     return Scorer(scorer_id, "0.1.0", lambda i: outcome(F.col(column), reason))
 
 
+def _scored_apart(fn: Callable[..., pd.Series], columns: Sequence[pd.Series]) -> tuple[list, list]:
+    """Scores and errors of all rows. A batch that throws, or gives another number of values than
+    rows, is halved until the rows at fault are alone, and only they fail."""
+    n = len(columns[0]) if columns else 0
+    scores: list = [None] * n
+    errors: list = [None] * n
+    spans = [(0, n)] if n else []
+    while spans:
+        lo, hi = spans.pop()
+        try:
+            values = list(fn(*[c.iloc[lo:hi].reset_index(drop=True) for c in columns]))
+            if len(values) != hi - lo:
+                raise ValueError(f"{len(values)} scores for {hi - lo} rows")
+            scores[lo:hi] = values
+        except Exception as exc:
+            if hi - lo == 1:
+                errors[lo] = str(exc) or type(exc).__name__
+            else:
+                middle = (lo + hi) // 2
+                spans += [(lo, middle), (middle, hi)]
+    return scores, errors
+
+
+def _frame(live: np.ndarray, scores: list, errors: list) -> pd.DataFrame:
+    out = pd.DataFrame({"score": [None] * len(live), "error": [None] * len(live)}, dtype=object)
+    out.loc[live, "score"] = pd.Series(scores, index=out.index[live], dtype=object)
+    out.loc[live, "error"] = pd.Series(errors, index=out.index[live], dtype=object)
+    return out
+
+
+def _python(scorer_id: str, version: str, run: Callable, inputs: Sequence[str], reason: str) -> Scorer:
+    return Scorer(
+        scorer_id,
+        version,
+        lambda i: outcome(i["result"]["score"], reason, i["result"]["error"]),
+        [lambda i: {"result": run(i["runs"], *[i[name] for name in inputs])}],
+    )
+
+
 def python_scorer(
     scorer_id: str, fn: Callable[..., pd.Series], inputs: Sequence[str], reason: str, version: str = "0.1.0"
 ) -> Scorer:
     """A score from a function over pandas Series, run on Arrow batches.
 
-    Skipped items are not passed on; items with null inputs are. When a batch throws, or
-    gives another number of values than rows, it is halved until the rows at fault are
-    alone, and only they fail.
+    Skipped items are not passed on; items with null inputs are. Rows at fault fail alone.
     """
 
     @F.pandas_udf("struct<score:double,error:string>")
     def run(goes: pd.Series, *columns: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"score": [None] * len(goes), "error": [None] * len(goes)}, dtype=object)
         live = goes.to_numpy(dtype=bool)
-        if not live.any():
-            return out
-        given = [c[live].reset_index(drop=True) for c in columns]
-        scores: list = [None] * int(live.sum())
-        errors: list = [None] * int(live.sum())
-        spans = [(0, len(scores))]
-        while spans:
-            lo, hi = spans.pop()
-            try:
-                values = list(fn(*[c.iloc[lo:hi].reset_index(drop=True) for c in given]))
-                if len(values) != hi - lo:
-                    raise ValueError(f"{len(values)} scores for {hi - lo} rows")
-                scores[lo:hi] = values
-            except Exception as exc:
-                if hi - lo == 1:
-                    errors[lo] = str(exc) or type(exc).__name__
-                else:
-                    middle = (lo + hi) // 2
-                    spans += [(lo, middle), (middle, hi)]
-        out.loc[live, "score"] = pd.Series(scores, index=out.index[live], dtype=object)
-        out.loc[live, "error"] = pd.Series(errors, index=out.index[live], dtype=object)
-        return out
+        return _frame(live, *_scored_apart(fn, [c[live].reset_index(drop=True) for c in columns]))
+
+    return _python(scorer_id, version, run, inputs, reason)
 
-    return Scorer(
-        scorer_id,
-        version,
-        lambda i: outcome(i["result"]["score"], reason, i["result"]["error"]),
-        [lambda i: {"result": run(i["runs"], *[i[name] for name in inputs])}],
-    )
+
+# The models of this process, by the scorer they were set up for.
+_MODELS: dict[str, Callable[..., pd.Series]] = {}
+
+
+def _model(token: str, setup: Callable[[], Callable[..., pd.Series]]) -> Callable[..., pd.Series]:
+    if token not in _MODELS:
+        _MODELS[token] = setup()
+    return _MODELS[token]
+
+
+def _weights(column: pd.Series) -> np.ndarray:
+    """Bytes of each value, roughly."""
+    if column.dtype != object:
+        return np.full(len(column), 8)
+    return np.array([len(v) if isinstance(v, (str, bytes, bytearray, list, dict, np.ndarray)) else 8 for v in column], np.int64)
+
+
+def _cuts(columns: Sequence[pd.Series], batch_bytes: int, batch_rows: int) -> list[tuple[int, int]]:
+    """Spans of rows of at most batch_rows rows and batch_bytes bytes; a larger row is alone."""
+    sizes = np.sum([_weights(c) for c in columns], axis=0)
+    spans, lo, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > lo and (total + size > batch_bytes or i - lo == batch_rows):
+            spans.append((lo, i))
+            lo, total = i, 0
+        total += size
+    return [*spans, (lo, len(sizes))] if len(sizes) else []
+
+
+def batch_scorer(
+    scorer_id: str,
+    setup: Callable[[], Callable[..., pd.Series]],
+    inputs: Sequence[str],
+    reason: str,
+    version: str = "0.1.0",
+    batch_bytes: int = 16_000_000,
+    batch_rows: int = 1_000,
+) -> Scorer:
+    """A score from a model that is costly to set up and wants batches of its own size.
+
+    setup() gives the function over pandas Series; it is called once per Python worker
+    process, which serves many tasks and batches. Incoming batches are joined and cut
+    again to at most batch_rows rows and batch_bytes bytes of input (a larger row is alone).
+    Skipped items are not passed on. Rows at fault fail alone; when setup throws, the job fails.
+    """
+    token = f"{scorer_id}-{uuid.uuid4().hex}"
+
+    def flush(held: list[tuple[np.ndarray, list[pd.Series]]]) -> pd.DataFrame:
+        live = np.concatenate([goes for goes, _ in held])
+        columns = [pd.concat(parts, ignore_index=True) for parts in zip(*[c for _, c in held])]
+        scores, errors = [], []
+        for lo, hi in _cuts(columns, batch_bytes, batch_rows):
+            found = _scored_apart(_model(token, setup), [c.iloc[lo:hi].reset_index(drop=True) for c in columns])
+            scores += found[0]
+            errors += found[1]
+        return _frame(live, scores, errors)
+
+    @F.pandas_udf("struct<score:double,error:string>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        held, rows, size = [], 0, 0
+        for goes, *columns in batches:
+            live = goes.to_numpy(dtype=bool)
+            given = [c[live].reset_index(drop=True) for c in columns]
+            held.append((live, given))
+            rows += int(live.sum())
+            size += int(sum(_weights(c).sum() for c in given))
+            if rows >= batch_rows or size >= batch_bytes:
+                yield flush(held)
+                held, rows, size = [], 0, 0
+        if held:
+            yield flush(held)
+
+    return _python(scorer_id, version, run, inputs, reason)
 
 
 class ScorerRegistry:
@@ -258,15 +345,20 @@ def layer_inputs(items: DataFrame) -> DataFrame:
 PARTS = ("score", "reason", "error", "details")
 
 
-def score_layers(items: DataFrame, slots: Mapping[str, Scorer], unless: Column | None = None) -> DataFrame:
+def score_layers(
+    items: DataFrame, slots: Mapping[str, Scorer], unless: Column | Mapping[str, Column] | None = None
+) -> DataFrame:
     """Add the outcome of each layer as columns <layer>_score, _reason, _error, _details.
 
+    `unless`: rows to skip, for all layers or by layer.
+
     Flat columns, as the optimizer would copy the expression behind a struct field into
     every place that reads it. Inputs of skipped rows are null; their outcomes are
     meaningless and must be masked by the caller. Batch scorers are evaluated for every
     row of a conditional, so masking the inputs is what saves their work.
     """
-    inputs = {layer: {**route(layer, unless), "runs": runs(unless)} for layer in LAYERS}
+    skip = {layer: unless.get(layer) if isinstance(unless, Mapping) else unless for layer in LAYERS}
+    inputs = {layer: {**route(layer, skip[layer]), "runs": runs(skip[layer])} for layer in LAYERS}
     ready, temporary = items, []
     for step in range(max(len(slots[layer].prepare) for layer in LAYERS)):
         added: dict[str, Column] = {}

@@ -101,6 +101,15 @@ def screen(
         texted = wordlist_outcome({"matched": F.coalesce("matched", F.array().cast(MATCHED))})
         scored = scored.withColumns({f"text_risk_{part}": texted[part] for part in PARTS})
     scored = scored.selectExpr(*slim, *found, *[c for layer in LAYERS for c in _mask_skipped(layer)])
+    facts = preprocess_status(F.col("hit_kind"), F.col("header"))
+    return _fused(scored, slots, config, cancel_requests, facts)
+
+
+def _fused(
+    scored: DataFrame, slots: Mapping[str, Scorer], config: FusionConfig, cancel_requests: DataFrame | None, facts: list[Column]
+) -> DataFrame:
+    """RESULT of rows with all outcomes. facts: the columns of preprocess_status."""
+    hit = F.col("hit_kind").isNotNull()
     if cancel_requests is None:
         scored = scored.withColumn("__cancel", F.lit(None).cast("string")).withColumn("__stop", F.lit(False))
     else:
@@ -122,7 +131,7 @@ def screen(
         "*",
         F.when(failed, "failed").when(stopped, "cancelled").otherwise("done").alias("terminal_state"),
         F.when(failed, failure).when(stopped, F.col("__cancel")).alias("terminal_reason"),
-        *preprocess_status(F.col("hit_kind"), F.col("header")),
+        *facts,
         F.when(hit, fast_score).when(stopped, held["score"]).when(~failed, score).alias("score"),
         F.when(stopped, held["reason"]).when(~failed, "fusion-decision").alias("reason"),
     )
@@ -158,6 +167,75 @@ def rescreen(items: DataFrame, done: DataFrame, blocklist: DataFrame, **options)
     return screen(items.join(open_ids, "item_id", "left_semi"), blocklist, **options)
 
 
+def resume_screen(
+    items: DataFrame,
+    stored: DataFrame,
+    blocklist: DataFrame,
+    slots: Mapping[str, Scorer] | None = None,
+    config: FusionConfig = DEFAULT_FUSION,
+    cancel_requests: DataFrame | None = None,
+) -> DataFrame:
+    """The result of a full `screen`, computing only the stages that `stored` lacks.
+
+    stored: rows of RESULT from a run that stopped, at most one per item id, in which a null
+    md5 stands for a preprocess stage and a null layer for a layer that is missing. A
+    layer stored by another scorer, or with an error, counts as missing. Fusion is done
+    anew. Bytes and text are read of the open items only; scorers get only the rows that
+    lack their layer, and fingerprints only those without. Items unchanged since is the
+    caller's promise: `rescreen` compares hashes.
+    """
+    slots = default_slots(**(slots or {}))
+    kept = [c for c in RESULT if c not in ("item_id", "terminal_state", "terminal_reason", "score", "reason", "action")]
+    known = stored.select("item_id", *kept)
+    there = {layer: F.col(layer).isNotNull() & F.col(f"{layer}.error").isNull() & (F.col(f"{layer}.agent") == slots[layer].id) for layer in LAYERS}
+    blocked = F.col("md5").isNotNull() & F.col("hit_kind").isNotNull()
+    whole = F.col("md5").isNotNull()
+    for layer in LAYERS:
+        whole = whole & there[layer]
+    whole = F.coalesce(blocked | whole, F.lit(False))
+    ids = items.select("item_id")
+    finished = known.where(whole)
+    open_ids = written(ids.join(finished.select("item_id"), "item_id", "left_anti").distinct(), "open-items")
+    if is_small(open_ids):
+        open_ids = F.broadcast(open_ids)
+    partial = known.where(~whole & F.col("item_id").isNotNull())
+    renamed = partial.select("item_id", F.struct(*kept).alias("__stored"))
+    open_items = lookup_join(items.join(open_ids, "item_id", "left_semi"), renamed, ["item_id"], "left", ["item_id"])
+    # Rows without an id match nothing stored.
+    nobody = items.where("item_id IS NULL").withColumn("__stored", F.lit(None).cast(renamed.schema["__stored"].dataType))
+    open_items = open_items.unionByName(nobody)
+
+    had = F.col("__stored.md5").isNotNull()
+    facts = with_facts(open_items.withColumn("__content", F.col("content")).withColumn("content", F.when(~had, F.col("content"))))
+    facts = facts.withColumn("content", F.col("__content")).drop("__content")
+    facts = facts.withColumns({c: F.when(had, F.col(f"__stored.{c}")).otherwise(F.col(c)) for c in ("md5", "phash")})
+    looked = blocklist_lookup(facts, blocklist)
+    looked = looked.withColumns({c: F.when(had, F.col(f"__stored.{c}")).otherwise(F.col(c)) for c in ("hit_hash", "hit_kind")})
+    hit = F.col("hit_kind").isNotNull()
+    have = {
+        layer: F.coalesce(F.col(f"__stored.{layer}.error").isNull() & (F.col(f"__stored.{layer}.agent") == slots[layer].id), F.lit(False))
+        for layer in LAYERS
+    }
+    scored = score_layers(looked, slots, {layer: hit | have[layer] for layer in LAYERS})
+    merged = {
+        f"{layer}_{part}": F.when(have[layer], F.col(f"__stored.{layer}.{part}")).otherwise(F.col(f"{layer}_{part}"))
+        for layer in LAYERS
+        for part in PARTS
+    }
+    scored = scored.withColumns(merged)
+    slim = ["item_id", "md5", "phash", "header", "__stored", "hit_hash", "hit_kind"]
+    scored = scored.selectExpr(*slim, *[c for layer in LAYERS for c in _mask_skipped(layer)])
+    names = ("status", "preprocess_score", "format", "width", "height")
+    computed = preprocess_status(F.col("hit_kind"), F.col("header"))
+    facts = [F.when(had, F.col(f"__stored.{name}")).otherwise(c).alias(name) for name, c in zip(names, computed)]
+    fresh = _fused(scored, slots, config, cancel_requests, facts)
+
+    outcomes = [F.col(f"{layer}.{part}").alias(f"{layer}_{part}") for layer in LAYERS for part in PARTS]
+    ready = finished.join(ids.distinct(), "item_id", "left_semi").select("item_id", *[c for c in kept if c not in LAYERS], *outcomes)
+    ready = ready.selectExpr(*[c for c in ready.columns if c not in merged], *[c for layer in LAYERS for c in _mask_skipped(layer)])
+    return fresh.unionByName(_fused(ready, slots, config, cancel_requests, [F.col(name) for name in names]))
+
+
 def layer_scores(result: DataFrame, *more: str) -> DataFrame:
     """(item_id, action, score, hit_kind, seven layer doubles) as they entered fusion."""
     hit = F.col("hit_kind").isNotNull()

@@ -10,8 +10,9 @@ from siftgate.operators.blocklist import (
     blocklist_clean,
     blocklist_events,
     blocklist_lookup,
+    blocklist_near,
 )
-from siftgate.operators.duplicates import exact_duplicates, near_duplicates
+from siftgate.operators.duplicates import exact_duplicates, near_duplicate_groups, near_duplicates
 from siftgate.operators.images import image_inventory
 from siftgate.plans.preprocess import preprocess_items
 from siftgate.queries.base import SQL_BLOCKLIST, SQL_PHASH, blocklist, documents, item_key, items, query, table
@@ -96,6 +97,43 @@ def near_duplicates_query(spark, sf_dir):
     return near_duplicates(items(spark, sf_dir), max_distance=3)
 
 
+GROUP_DISTANCE = 6
+
+
+@query(
+    "near_duplicate_groups",
+    f"""WITH RECURSIVE {SQL_PHASH},
+grp AS MATERIALIZED (
+  SELECT phash, {_BITS.format('phash')} AS bits, count(*) AS n, min(item_id) AS first_item FROM prints GROUP BY phash),
+links AS MATERIALIZED (
+  SELECT a.phash AS a, b.phash AS b FROM grp a JOIN grp b ON bit_count(xor(a.bits, b.bits)) <= {GROUP_DISTANCE}),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a AS phash, min(b) AS root FROM reach GROUP BY a),
+sized AS (SELECT root, min(first_item) AS group_item, sum(n) AS n_items, count(*) AS n_hashes FROM grp JOIN roots USING (phash) GROUP BY root)
+SELECT item_id, phash, group_item, CAST(n_items AS BIGINT) AS n_items, n_hashes
+FROM prints JOIN roots USING (phash) JOIN sized USING (root)""",
+)
+def near_duplicate_groups_query(spark, sf_dir):
+    return near_duplicate_groups(items(spark, sf_dir), GROUP_DISTANCE)
+
+
+NEAR_DISTANCE = 5
+
+
+@query(
+    "blocklist_near",
+    f"""WITH {SQL_BLOCKLIST},
+asked AS (SELECT DISTINCT phash, {_BITS.format('phash')} AS bits FROM prints),
+best AS (
+  SELECT a.phash, b.hash AS near_hash, CAST(bit_count(xor(a.bits, {_BITS.format('b.hash')})) AS INTEGER) AS near_distance
+  FROM asked a JOIN blocklist b ON b.kind = 'phash' AND bit_count(xor(a.bits, {_BITS.format('b.hash')})) <= {NEAR_DISTANCE}
+  QUALIFY row_number() OVER (PARTITION BY a.phash ORDER BY near_distance, near_hash) = 1)
+SELECT item_id, phash, near_hash, near_distance FROM prints LEFT JOIN best USING (phash)""",
+)
+def blocklist_near_query(spark, sf_dir):
+    return blocklist_near(prints(spark, sf_dir).drop("md5"), blocklist(spark, sf_dir), NEAR_DISTANCE)
+
+
 @query(
     "exact_duplicates",
     """SELECT md5(text) AS md5, count(*) AS n, min(CAST(doc_id AS VARCHAR)) AS first_item

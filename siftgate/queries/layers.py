@@ -22,6 +22,7 @@ from siftgate.functions.clamp import clamp01, clamp_unit
 from siftgate.operators.blocklist import blocklist_blocked
 from siftgate.operators.scorers import (
     ScorerRegistry,
+    batch_scorer,
     constant_scorer,
     default_slots,
     layer_inputs,
@@ -325,3 +326,15 @@ def custom_scorer_query(spark, sf_dir):
     slots = default_slots(text_risk=python_scorer("digits", digit_share, ["ocr_text"], "digit-share"))
     flat = score_layers(items(spark, sf_dir), slots)
     return flat.select("item_id", F.col("text_risk_score").alias("score"), F.col("text_risk_reason").alias("reason"))
+
+
+@query(
+    "batch_scorer",
+    f"""WITH {SQL_DOCS} SELECT item_id, length(regexp_replace(text, '[^0-9]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE) AS score,
+       'digit-share' AS reason FROM docs""",
+)
+def batch_scorer_query(spark, sf_dir):
+    """As custom_scorer, with a model that each worker sets up once and that takes batches by bytes."""
+    slots = default_slots(text_risk=batch_scorer("digits", lambda: digit_share, ["ocr_text"], "digit-share", batch_bytes=1_000_000))
+    flat = score_layers(items(spark, sf_dir), slots)
+    return flat.select("item_id", F.col("text_risk_score").alias("score"), F.col("text_risk_reason").alias("reason"))

@@ -16,6 +16,7 @@ from siftgate.plans.screen import (
     cancelled_items,
     failed_items,
     rescreen,
+    resume_screen,
     review_queue,
     screen,
     state_events,
@@ -329,6 +330,28 @@ def done_items(spark, sf_dir):
     return docs.join(labels, "doc_id").select(item_key(), F.when(changed, "stale").otherwise(F.col("md5")).alias("md5"))
 
 
+def resume_slots():
+    return {**PLAIN_SLOTS, "ad": python_scorer("half", lambda target: pd.Series([0.5] * len(target)), ["target"], "stub-ad")}
+
+
+def stopped_run(spark, sf_dir):
+    """A run that stopped: of labelled documents the toxic ones lack their text layer, those of low
+    quality their ad layer, and both together all stages; the others were not begun."""
+    whole = screen(items(spark, sf_dir), blocklist(spark, sf_dir), resume_slots())
+    marks = table(spark, sf_dir, "labels").groupBy(item_key()).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = whole.join(marks, "item_id")
+    toxic, low = F.col("toxic") == 1, F.col("quality") == 0
+    stages = [c for c in whole.columns if c not in ("item_id", "text_risk", "ad")]
+    kept = {c: F.when(~(toxic & low), F.col(c)) for c in stages}
+    kept |= {"text_risk": F.when(~toxic, F.col("text_risk")), "ad": F.when(~low, F.col("ad"))}
+    return written(marked.withColumns(kept).drop("toxic", "quality"), "stopped-run")
+
+
+@query("resume_screen", SQL_SCREEN)
+def resume_screen_query(spark, sf_dir):
+    return flat(resume_screen(items(spark, sf_dir), stopped_run(spark, sf_dir), blocklist(spark, sf_dir), resume_slots()))
+
+
 @query(
     "rescreen",
     f"""WITH {SQL_RUN}, finished AS (SELECT CAST(doc_id AS VARCHAR) AS item_id FROM labels WHERE quality <> 0)

@@ -3,12 +3,13 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftgate.functions.hashing import byte_grid_hash, byte_grid_hash_expr, hamming_hex, md5_hex
 from siftgate.operators import duplicates
-from siftgate.operators.blocklist import blocklist_blocked, blocklist_clean, blocklist_events, blocklist_lookup
+from siftgate.operators.blocklist import blocklist_blocked, blocklist_clean, blocklist_events, blocklist_lookup, blocklist_near
 from siftgate.operators.duplicates import exact_duplicates, near_duplicates, near_hash_pairs
 from siftgate.operators.images import image_header, image_inventory
 from siftgate.plans.preprocess import preprocess_items
@@ -161,3 +162,64 @@ def test_read_items_from_files(spark, tmp_path):
 
 def test_hot_bucket_default_is_in_use():
     assert duplicates.HOT_BUCKET > 1 and len(duplicates._block_masks(3)) == 20
+
+
+def brute_near(asked, blocked, distance):
+    best = min(((bin(int(asked, 16) ^ int(b, 16)).count("1"), b) for b in blocked), default=(99, None))
+    return (best[1], best[0]) if best[0] <= distance else (None, None)
+
+
+@pytest.mark.parametrize("distance", [0, 3, 10])
+@pytest.mark.parametrize("fits", [True, False])
+def test_blocklist_near_is_brute_force(spark, distance, fits):
+    rng = random.Random(distance)
+    blocked = [f"{rng.getrandbits(64):016x}" for _ in range(40)]
+    asked = [f"{int(rng.choice(blocked), 16) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(13))):016x}" for _ in range(150)]
+    rows = [(str(i), h) for i, h in enumerate(asked)] + [("null", None), ("short", "00ff"), ("upper", blocked[0].upper()), ("again", asked[0])]
+    items = spark.createDataFrame(rows, "item_id string, phash string")
+    seeds = [(h.upper(), "phash") for h in blocked] + [("00ff", "phash"), ("0" * 32, "md5"), (asked[1], "md5")]
+    got = blocklist_near(items, spark.createDataFrame(seeds, "hash string, kind string"), distance, fits=fits)
+    expected = {i: brute_near(h, blocked, distance) if h and len(h) == 16 else (None, None) for i, h in rows}
+    assert {r.item_id: (r.near_hash, r.near_distance) for r in got.collect()} == expected
+    none = blocklist_near(items, spark.createDataFrame([], "hash string, kind string"), distance, fits=fits)
+    assert {(r.near_hash, r.near_distance) for r in none.collect()} == {(None, None)}
+
+
+@pytest.mark.parametrize("distance, tile", [(2, 8192), (6, 8192), (6, 20), (10, 8192)])
+def test_near_hash_groups_are_brute_force(spark, monkeypatch, distance, tile):
+    monkeypatch.setattr(duplicates, "TILE_ROWS", tile)
+    rng = random.Random(7)
+    hashes = [rng.getrandbits(64) for _ in range(30)]
+    for h in list(hashes):
+        for _ in range(6):
+            h ^= sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 12)))
+            hashes.append(h)
+    hashes = sorted({h - (1 << 64) if h >> 63 else h for h in hashes})
+    root = {h: h for h in hashes}
+    for a in hashes:
+        for b in hashes:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= distance and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {h: new if r == old else r for h, r in root.items()}
+    got = duplicates.near_hash_groups(spark.createDataFrame([(h,) for h in hashes], "bits long"), distance)
+    assert {tuple(r) for r in got.collect()} == set(root.items())
+
+
+def test_a_dense_group_gives_one_row_per_item(spark):
+    """10,000 hashes within 4 bits of each other: their 50 million pairs are never listed."""
+    masks = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
+    extra = [(1 << i) | (1 << j) | (1 << k) for i in range(40) for j in range(i) for k in range(j)]
+    bits = [m - (1 << 64) if m >> 63 else m for m in (masks + extra)[:10_000]]
+    links = []
+    run = duplicates._tile_links(4)
+    table = pa.table({"tile": [1] * len(bits), "bits": pa.array(bits, pa.int64())})
+    for batch in run(table.to_batches(1000)):
+        links.append(batch.num_rows)
+    assert len(set(bits)) == 10_000 and sum(links) == 9_999
+
+
+def test_near_duplicate_groups_of_items(spark):
+    rows = [(None, b"x"), ("b", b"abc" * 50), ("a", b"abc" * 50), ("c", None), ("d", b"zzzz"), ("e", b"")]
+    got = duplicates.near_duplicate_groups(spark.createDataFrame(rows, "item_id string, content binary"), 0)
+    found = {r.item_id: (r.group_item, r.n_items, r.n_hashes) for r in got.collect()}
+    assert found["a"] == found["b"] == ("a", 2, 1) and "c" not in found and len(found) == 5

@@ -1,5 +1,7 @@
 """Clamps, fusion, scorers and whole runs on small fixed inputs."""
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -19,11 +21,13 @@ from siftgate.operators import matching, search
 from siftgate.operators.matching import Entry
 from siftgate.operators.scorers import (
     ScorerRegistry,
+    batch_scorer,
     column_scorer,
     constant_scorer,
     default_slots,
     native_scorer,
     python_scorer,
+    score_layers,
     wordlist_scorer,
 )
 from siftgate.plans.screen import (
@@ -32,6 +36,7 @@ from siftgate.plans.screen import (
     audit_events,
     audit_tuple,
     rescreen,
+    resume_screen,
     review_queue,
     screen,
     state_events,
@@ -269,3 +274,72 @@ def test_streams_refuse_a_wordlist_beyond_the_bounds(spark, monkeypatch, tmp_pat
     table = spark.createDataFrame([(0, "a", "c", "s", None)], "entry_no int, word string, category string, severity string, match string")
     with pytest.raises(ValueError, match="too large for a stream"):
         stream_screen(None, None, str(tmp_path), str(tmp_path), wordlist=table)
+
+
+def model_calls(folder):
+    return [line.split() for f in folder.glob("*") for line in f.read_text().splitlines()]
+
+
+def test_resume_runs_scorers_on_missing_layers_only(spark, items, blocked, tmp_path):
+    folder = str(tmp_path)
+
+    def seen(text, item):
+        with open(f"{folder}/{os.getpid()}", "a") as log:
+            log.writelines(f"{i}\n" for i in item)
+        return pd.Series([0.25] * len(text))
+
+    slots = {"ad": python_scorer("counting", seen, ["target", "item_id"], "counted")}
+    more = items.where("item_id = 'normal'")
+    for name in ("lacks_ad", "lacks_text", "lacks_all", "unknown", "other_agent", "failed_layer"):
+        more = more.unionByName(items.where("item_id = 'normal'").withColumn("item_id", F.lit(name)))
+    everything = items.unionByName(more.where("item_id <> 'normal'"))
+    whole = screen(everything, blocked, slots)
+    full = spark.createDataFrame(whole.collect(), whole.schema)
+    is_ = lambda name: F.col("item_id") == name
+    stored = full.where(~is_("unknown")).withColumns(
+        {
+            **{c: F.when(~is_("lacks_all"), F.col(c)) for c in full.columns if c not in ("item_id", "ad", "text_risk")},
+            "text_risk": F.when(~(is_("lacks_text") | is_("lacks_all")), F.col("text_risk")),
+            "ad": F.when(is_("other_agent"), F.col("ad").withField("agent", F.lit("old")))
+            .when(is_("failed_layer"), F.col("ad").withField("error", F.lit("threw")))
+            .when(~(is_("lacks_ad") | is_("lacks_all")), F.col("ad")),
+        }
+    )
+    stored = spark.createDataFrame(stored.collect(), stored.schema)
+    for f in tmp_path.glob("*"):
+        f.unlink()
+    got = resume_screen(everything, stored, blocked, slots)
+    rows = got.collect()
+    assert got.columns == full.columns and sorted(map(str, rows)) == sorted(map(str, full.collect()))
+    assert sorted(c[0] for c in model_calls(tmp_path)) == ["failed_layer", "lacks_ad", "lacks_all", "other_agent", "unknown"]
+
+
+def test_batch_scorer_sets_up_once_per_worker_and_cuts_by_bytes(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def setup():
+        with open(f"{folder}/{os.getpid()}", "a") as log:
+            log.write("setup\n")
+
+        def score(text):
+            with open(f"{folder}/{os.getpid()}", "a") as log:
+                log.write(f"batch {len(text)} {int(text.str.len().sum())}\n")
+            if (text == "bad").any():
+                raise ValueError("cannot read")
+            return text.str.len() / 1000
+
+        return score
+
+    rows = [(str(i), "bad" if i == 70 else "x" * (900 if i == 5 else i % 40)) for i in range(400)]
+    items = items_from(spark.createDataFrame(rows, "id string, t string").repartition(6), "id", content=F.lit(b""), ocr_text=F.col("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        slots = default_slots(text_risk=batch_scorer("model", setup, ["ocr_text"], "length", batch_bytes=500, batch_rows=50))
+        got = {r.item_id: (r.text_risk_score, r.text_risk_error) for r in score_layers(items, slots).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: (-1.0, "cannot read") if t == "bad" else (len(t) / 1000, None) for i, t in rows}
+    calls = model_calls(tmp_path)
+    batches = [(int(c[1]), int(c[2])) for c in calls if c[0] == "batch"]
+    assert len([c for c in calls if c[0] == "setup"]) == len(list(tmp_path.glob("*")))
+    assert all(n == 1 or (n <= 50 and size <= 500) for n, size in batches) and max(n for n, _ in batches) > 7
