@@ -16,6 +16,8 @@ from siftgate.operators.duplicates import exact_duplicates, near_duplicate_group
 from siftgate.operators.images import image_inventory
 from siftgate.plans.preprocess import preprocess_items
 from siftgate.queries.base import SQL_BLOCKLIST, SQL_PHASH, blocklist, documents, item_key, items, query, table
+from siftgate.plans.scratch import scratch_path
+from siftgate.sources.image_heads import read_image_heads, write_files
 from siftgate.sources.items import items_from
 
 
@@ -204,3 +206,23 @@ FROM part""",
 def preprocess_images_query(spark, sf_dir):
     done = preprocess_items(pictures(spark, sf_dir), blocklist(spark, sf_dir))
     return done.select("item_id", "status", "format", "width", "height")
+
+
+# Pictures as files, each with 20,000 bytes behind its header.
+@query(
+    "image_heads",
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS item_id,
+       CASE p_partkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'unknown' END AS format,
+       CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS BIGINT) ELSE 0 END AS width,
+       CASE p_partkey % 3 WHEN 0 THEN p_partkey % 500 + 1 WHEN 1 THEN p_partkey % 300 + 1 ELSE 0 END AS height,
+       TRUE AS head_only
+FROM part""",
+)
+def image_heads_query(spark, sf_dir):
+    folder = scratch_path(spark, "pictures")
+    behind = F.unhex(F.repeat(F.lit("20"), 20_000))
+    shown = pictures(spark, sf_dir).select(F.concat("item_id", F.lit(".img")).alias("name"), F.concat("content", behind).alias("content"))
+    write_files(shown, folder)
+    heads = read_image_heads(spark, folder, pathGlobFilter="*.img")
+    item = F.regexp_extract("path", "([0-9]+)\\.img$", 1).alias("item_id")
+    return heads.select(item, "format", "width", "height", (F.col("bytes_read") * 4 < F.col("size")).alias("head_only"))

@@ -33,6 +33,7 @@ from siftgate.queries.base import (
     table,
 )
 from siftgate.queries.layers import sql_action
+from siftgate.sources.audit_sink import append_audit, read_committed_audit
 from siftgate.sources.audit_log import audit_line_count, file_line_count, read_audit, write_audit
 
 TEXT_SCORER = wordlist_scorer(ENTRIES)
@@ -239,6 +240,16 @@ def write_audit_query(spark, sf_dir):
     return file_line_count(spark, written_audit(spark, sf_dir)).agg(F.sum("n").alias("n"))
 
 
+@query("append_audit", f"WITH {SQL_MIXED_AUDIT} SELECT item_id, agent, score, reason FROM audit")
+def append_audit_query(spark, sf_dir):
+    """Two commits, of blocked and of other items, read back from what they name."""
+    path = scratch_path(spark, "audit")
+    result = written(mixed_run(spark, sf_dir), "result")
+    for part in (result.where("hit_kind IS NULL"), result.where("hit_kind IS NOT NULL")):
+        append_audit(audit_events(part), path)
+    return read_committed_audit(spark, path).select("item_id", "agent", "score", "reason")
+
+
 @query(
     "read_audit",
     f"""WITH {SQL_PLAIN_AUDIT} SELECT item_id, agent, score, reason, 'INFO' AS level, 'AGENT_RUN' AS phase,

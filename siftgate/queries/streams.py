@@ -13,7 +13,9 @@ from siftgate.plans.scratch import scratch_path
 from siftgate.queries.base import blocklist, document_items, query, table
 from siftgate.queries.events import SQL_ILLEGAL, SQL_LATEST, SQL_PAIRED, TIMEOUT_MS, message_rows, state_rows
 from siftgate.queries.runs import PLAIN_SLOTS, SQL_PLAIN_AUDIT, SQL_SCREEN, SQL_SCREEN_TABLE, flat, wordlist_table
+from siftgate.plans.screen import audit_events, screen
 from siftgate.sources.audit_log import read_audit
+from siftgate.sources.audit_sink import read_committed_audit, stream_append_audit
 from siftgate.sources.tables import spread
 from siftgate.streaming.jobs import (
     file_stream,
@@ -133,3 +135,11 @@ def stream_dedup_query(spark, sf_dir):
         lambda out, ck: stream_dedup(docs, out, ck, lateness="365 days"), spark, "stream-dedup"
     )
     return spark.read.parquet(sink).select("md5")
+
+
+@query("stream_append_audit", f"WITH {SQL_PLAIN_AUDIT} SELECT item_id, agent, score, reason FROM audit")
+def stream_append_audit_query(spark, sf_dir):
+    """The audit of a screened stream, through the sink with a manifest per batch."""
+    audit = audit_events(screen(document_items(document_stream(spark, sf_dir)), blocklist(spark, sf_dir), PLAIN_SLOTS))
+    sink = run_to_end(lambda out, ck: stream_append_audit(audit, out, ck), spark, "stream-audit-sink")
+    return read_committed_audit(spark, sink).select("item_id", "agent", "score", "reason")

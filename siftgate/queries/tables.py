@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftgate.plans.scratch import scratch_path
 from siftgate.queries.base import SQL_BLOCKLIST, blocklist, query, seeds, table
-from siftgate.sources.blocklist import blocklist_counts, blocklist_entries
-from siftgate.sources.items import items_from
+from siftgate.sources.blocklist import blocklist_counts, load_blocklist
+from siftgate.sources.image_heads import write_files
+from siftgate.sources.items import read_items
 from siftgate.sources.wordlist import validate_wordlist, wordlist_category_counts, wordlist_terms
 
 
 @query("load_blocklist", f"WITH {SQL_BLOCKLIST} SELECT hash, kind FROM blocklist")
 def load_blocklist_query(spark, sf_dir):
-    return blocklist_entries(seeds(spark, sf_dir))
+    """Seed objects as lines of JSON files in the shared folder, read back."""
+    path = scratch_path(spark, "seeds")
+    seeds(spark, sf_dir).write.json(path)
+    return load_blocklist(spark, path, multi_line=False)
 
 
 @query("blocklist_counts", f"WITH {SQL_BLOCKLIST} SELECT kind, count(*) AS n FROM blocklist GROUP BY kind")
@@ -67,5 +72,10 @@ def wordlist_category_counts_query(spark, sf_dir):
     """SELECT CAST(page_id AS VARCHAR) AS item_id, octet_length(encode(html)) AS n_bytes, md5(html) AS md5 FROM pages""",
 )
 def read_items_query(spark, sf_dir):
-    pages = items_from(table(spark, sf_dir, "pages"), "page_id", content=F.col("html").cast("binary"))
-    return pages.select("item_id", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("md5"))
+    """Pages as one file each in the shared folder, read back as items."""
+    folder = scratch_path(spark, "pages")
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name")
+    write_files(table(spark, sf_dir, "pages").select(name, F.col("html").cast("binary").alias("content")), folder)
+    found = read_items(spark, folder)
+    item = F.regexp_extract("item_id", "([0-9]+)\\.html$", 1).alias("item_id")
+    return found.select(item, F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("md5"))

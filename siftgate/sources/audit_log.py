@@ -43,7 +43,11 @@ def write_audit(audit: DataFrame, path: str) -> None:
 def read_audit(spark: SparkSession, path: str, keep_corrupt: bool = True) -> DataFrame:
     """Audit rows back from the lines. Lines that hold no audit record are kept with their
     raw text in `_corrupt_record`, null otherwise; or left out, if asked for."""
-    line = spark.read.text(path).select("value", F.from_json("value", LINE_SCHEMA).alias("line"))
+    return lines_to_audit(spark.read.text(path), keep_corrupt)
+
+
+def lines_to_audit(lines: DataFrame, keep_corrupt: bool) -> DataFrame:
+    line = lines.select("value", F.from_json("value", LINE_SCHEMA).alias("line"))
     broken = F.col("line.message").isNull()
     rows = line.select(
         F.col("line.timestamp").alias("ts"),
