@@ -131,7 +131,7 @@ class FileWriter(DataSourceArrowWriter):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
-        self.options, self.names = options, schema.names
+        self.options, self.names = {k.lower(): v for k, v in options.items()}, schema.names
         self.filters: list[tuple[type, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -143,7 +143,7 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[Files]:
         fs, base = opened(self.options["path"])
-        glob = self.options.get("pathGlobFilter", "*")
+        glob = self.options.get("pathglobfilter", "*")
         found = []
         for info in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
             hidden = info.base_name.startswith(("_", "."))
@@ -152,7 +152,7 @@ class Reader(DataSourceReader):
                 if all(_TESTS[kind](values[name], value) for kind, name, value in self.filters):
                     found.append((info.path, info.size))
         found.sort()
-        n = int(self.options.get("partitionFiles", PARTITION_FILES))
+        n = int(self.options.get("partitionfiles", PARTITION_FILES))
         cut = [found[i : i + n] for i in range(0, len(found), n)]
         return [Files([p for p, _ in part], [s for _, s in part]) for part in cut] or [Files([], [])]
 
