@@ -123,6 +123,7 @@ class Automaton:
         self.label: list[int] = [-1]
         self.tokens: dict[bytes, int] = {}
         self.length = [len(x) for x in self.spellings]
+        self.longest = max(self.length, default=0)
         for token, spelling in enumerate(self.spellings):
             if not spelling or token in self.specials.values():
                 continue
@@ -196,10 +197,10 @@ class Automaton:
         kids, label, shorter, length, arcs = self.kids, self.label, self.shorter, self.length, self.arcs
         ids: list[int] = []
         closed: set[int] = set()
-        n, at, last = len(word), 0, -1
+        n, at, last, longest = len(word), 0, -1, self.longest
         while at < n:
             node, token = 0, -1
-            for byte in word[at:]:
+            for byte in word[at : at + longest]:
                 node = kids[node].get(byte)
                 if node is None:
                     break
