@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgate.llm.common import hashed_sample
+from siftgate.plans.scratch import forget, written
 
 BITS = 18
 BUCKETS = 1 << BITS
 DIM = 16
 SAMPLE_ROWS = 3_000
+SAMPLE_BYTES = 64_000_000
 STEPS = 9_000
 RATE = 8.0
 THRESHOLD = 0.3
@@ -134,12 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most `rows` labelled documents outside the held-out fifth.
 
     The sample is the labels with the smallest hash of their id, so it is the same for
-    each run. Labels other than 0 and 1, null ids and labels without a document are ignored.
+    each run; it ends before its texts exceed SAMPLE_BYTES. An id that several documents have counts once, with
+    the smallest text. Labels other than 0 and 1, null ids and labels without a document are ignored.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     picked = hashed_sample(usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), ["id", "y"], rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    found = texts.join(F.broadcast(picked), "id").toArrow()
+    labelled = texts.join(F.broadcast(picked.distinct()), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    table = written(labelled.withColumn("mark", F.xxhash64("id", "y")), "sample")
+    sizes = table.select("mark", F.octet_length("t").cast("long")).orderBy("mark").collect()  # at most `rows` rows
+    last = max((m for m, total in zip([r[0] for r in sizes], np.cumsum([r[1] for r in sizes])) if total <= SAMPLE_BYTES), default=None)
+    found = table.where(F.lit(False) if last is None else F.col("mark") <= last).select("id", "y", "t").toArrow()
+    forget(table)
     order = sorted(range(found.num_rows), key=lambda i: (found["id"][i].as_py(), found["y"][i].as_py()))
     return train([found["t"][i].as_py() for i in order], [found["y"][i].as_py() for i in order])
 
