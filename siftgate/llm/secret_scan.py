@@ -33,9 +33,10 @@ CLASSES = {
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.9),
 }
 ALLOWED = (
-    "[A-Za-z]+",
+    "[a-z]+",
+    "[A-Z]+",
     "[0-9]+",
-    "[A-Z]?[a-z]+([A-Z_/+=-][a-z]*)*",
+    "[A-Z]?[a-z]+([A-Z_/+=-]+[a-z]{2,})*",
     "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     "[+/=_-]+",
 )

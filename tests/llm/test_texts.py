@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -125,6 +126,46 @@ def test_quality_learns_and_never_sees_held_out_rows(spark):
     assert quality.features(b"ab ab ab")[3] == quality.features(b"cd cd cd")[3]  # repeats share a feature
 
 
+def test_quality_scores_are_means_through_a_softmax(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(documents, labels)
+    for r in documents.select("text", quality.scorer(documents, model)(F.col("text")).alias("s")).collect():
+        ids = quality.features(r.text.encode())
+        hidden = model.vectors[ids].astype(np.float64).mean(axis=0) if len(ids) else np.zeros(model.vectors.shape[1])
+        z = hidden @ model.output.astype(np.float64) + model.bias
+        p = np.exp(z - z.max())
+        assert abs(p[1] / p.sum() - r.s) < 1e-4
+
+
+def test_quality_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 7, "word " * (1000 + i)) for i in range(70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 3, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y: seen.append((len(texts), sum(map(len, texts)))))
+    quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 12_000)
+    quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 10)
+    quality.fit(docs, labels)
+    learned = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(7))
+    assert seen[0][0] == learned and seen[1] == (2, seen[1][1]) and seen[1][1] <= 12_000 and seen[2] == (0, 0)
+
+
+def test_letters_only_keys_are_found_and_words_are_not(spark):
+    found = ["kQzWvXpLrTbNmYcHdGfJsRwQ", "aBxQwErTzUiOpLkJhGfDsAqY"]
+    words = ["internationalizationcommittee", "INTERNATIONALIZATIONCOMMITTEE", "someVeryLongCamelCaseIdentifierName", "path/towards/another/folder/name"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*found, *words])], "doc_id long, text string")
+    spans = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.with_secrets(docs).collect()}
+    assert all(spans[i] for i in range(2)) and not any(spans[i] for i in range(2, 6))
+
+
+def test_bpe_time_is_linear_in_a_word():
+    automaton = bpe.Automaton(*bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+    word = "abcdefghij" * 40_000
+    begin = time.perf_counter()
+    assert automaton.decode(automaton.encode(word)) == word and time.perf_counter() - begin < 5
+
+
 def test_quality_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([(1, None), (None, 1), (99, 7)], "doc_id long, quality int")
     model = quality.fit(odd, none)
