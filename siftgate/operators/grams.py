@@ -23,10 +23,16 @@ _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)  # wraps around at 2^64
+    """base^0 to base^(n-1) modulo 2^64; a process keeps the longest asked for."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.cumprod(out)  # wraps around at 2^64
+    return _POWERS[base][:n]
 
 
 def _slot(packed: np.ndarray) -> np.ndarray:
@@ -88,19 +94,23 @@ class GramTable:
                 if length < ANCHOR:
                     yield at + start, pattern[place[hit]]
                     continue
-                for m, (anchors, hashes) in self.longer.items():
-                    place = np.minimum(np.searchsorted(anchors, packed[at]), len(anchors) - 1)
-                    some = at[anchors[place] == packed[at]] + start
-                    yield from self._long(raw, some[some + m <= len(raw)], m, hashes)
+                yield from self._long(raw, start, n, at + start, packed[at])
 
-    def _long(self, raw: np.ndarray, at: np.ndarray, m: int, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _long(self, raw: np.ndarray, start: int, n: int, at: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What is found of the patterns of ANCHOR bytes and more, at places whose first bytes are an anchor."""
         if not len(at):
             return
-        lo, hi = int(at[0]), int(at[-1]) + m
-        b = raw[lo:hi].astype(np.uint64) + np.uint64(1)
+        b = raw[start : start + n + max(self.longer)].astype(np.uint64) + np.uint64(1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(b * _powers(_BASE, len(b)), out=sums[1:])
-        rolled = (sums[at - lo + m] - sums[at - lo]) * _powers(_BASE_INVERSE, hi - lo)[at - lo]
+        back = _powers(_BASE_INVERSE, n)
+        for m, (anchors, hashes) in self.longer.items():
+            place = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
+            some = at[(anchors[place] == anchor) & (at + m <= len(raw))] - start
+            rolled = (sums[some + m] - sums[some]) * back[some]
+            yield from self._whole(raw, some + start, rolled, m, hashes)
+
+    def _whole(self, raw: np.ndarray, at: np.ndarray, rolled: np.ndarray, m: int, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
         at = at[hashes[place] == rolled]
         found = [self.whole.get(raw[i : i + m].tobytes(), -1) for i in at.tolist()]

@@ -120,7 +120,10 @@ def _find_grams(items: DataFrame, table: DataFrame, case_sensitive: bool, item:
     schema = StructType([items.schema[item], StructField("__no", IntegerType()), StructField("idx", IntegerType())])
     numbers = spark.createDataFrame(list(enumerate(folded)), "__no int, folded string")
     named = table.join(F.broadcast(numbers), "folded").select("__no", "pattern", "times")
-    return _expand(searched.mapInArrow(run, schema).join(F.broadcast(named), "__no"), item)
+    hits = searched.mapInArrow(run, schema).join(F.broadcast(named), "__no")
+    if not table.where("times > 1").head(1):
+        return hits.select(item, "pattern", "idx")
+    return _expand(hits, item)
 
 
 def _positions(window: Column, word: str) -> Column:
