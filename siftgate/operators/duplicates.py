@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgate.functions.hashing import byte_grid_hash, hamming_bits, hash_bits
-from siftgate.plans.components import components, spanning_forest
-from siftgate.plans.joins import is_small, lookup_join
+from siftgate.plans.components import components, few_links, spanning_forest
+from siftgate.plans.joins import is_small, large_join, lookup_join
 from siftgate.plans.scratch import written
 
 BITS = 64
@@ -64,7 +64,7 @@ def _bucket_keys(hashes: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], max_distance: int) -> DataFrame:
-    joined = left.withColumnRenamed("bits", "a").join(right.withColumnRenamed("bits", "b"), on)
+    joined = large_join(left.withColumnRenamed("bits", "a"), right.withColumnRenamed("bits", "b"), on)
     near: Column = hamming_bits(F.col("a"), F.col("b")) <= max_distance
     return joined.where((F.col("a") < F.col("b")) & near).select("a", "b")
 
@@ -139,7 +139,7 @@ def near_duplicates(
     def side(name: str) -> DataFrame:
         return groups.select(F.col("bits").alias(name), group.alias(f"g{name}"))
 
-    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    named = large_join(large_join(pairs, side("a"), "a"), side("b"), "b")
     first, second = F.least("ga", "gb"), F.greatest("ga", "gb")
     distance = hamming_bits(F.col("a"), F.col("b"))
     across = named.select(first.alias("x"), second.alias("y"), distance.alias("distance"))
@@ -158,32 +158,45 @@ def near_duplicates(
 
 
 TILE_ROWS = 8_192
+# Tiles up to here give all their links, at most half as many a row; larger ones a spanning forest.
+FEW_ROWS = 16
 
 
 def _tile_links(max_distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        key = None
-
-        def links() -> Iterator[pa.RecordBatch]:
-            bits = np.concatenate(held).view(np.uint64)
-            near = lambda lo, hi: np.bitwise_count(bits[lo:hi, None] ^ bits[None, :]) <= max_distance
-            i, j = spanning_forest(near, len(bits))
-            signed = bits.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], ["a", "b"])
+    def links(tile: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        """Of whole tiles, their rows side by side."""
+        at = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        sizes = np.diff(np.append(at, len(tile)))
+        few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW_ROWS), sizes))
+        x = bits.view(np.uint64)
+        some = x[few]
+        i, j = few_links(tile[few], lambda i, j: np.bitwise_count(some[i] ^ some[j]) <= max_distance)
+        left, right = [few[i]], [few[j]]
+        for k in np.flatnonzero(sizes > FEW_ROWS):
+            own = x[at[k] : at[k] + sizes[k]]
+            near = lambda lo, hi: np.bitwise_count(own[lo:hi, None] ^ own[None, :]) <= max_distance  # noqa: E731, B023
+            i, j = spanning_forest(near, len(own))
+            left.append(at[k] + i)
+            right.append(at[k] + j)
+        i, j = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(bits[i]), pa.array(bits[j])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, bits = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, n = [], 0
         for batch in batches:
-            tiles = batch.column("tile").to_numpy()
-            bits = batch.column("bits").to_numpy()
-            cuts = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
-            for tile, part in zip(tiles[np.concatenate([[0], cuts])] if len(tiles) else [], np.split(bits, cuts)):
-                if held and tile != key:
-                    yield from links()
-                    held.clear()
-                key = tile
-                held.append(part)
+            held.append((batch.column("tile").to_numpy(), batch.column("bits").to_numpy()))
+            n += batch.num_rows
+            if n < TILE_ROWS:
+                continue
+            tile, bits = (np.concatenate(c) for c in zip(*held))
+            # The last tile may go on in the next batch.
+            cut = int(np.flatnonzero(tile[1:] != tile[:-1])[-1]) + 1 if tile[0] != tile[-1] else 0
+            if cut:
+                yield links(tile[:cut], bits[:cut])
+            held, n = [(tile[cut:], bits[cut:])], 0
         if held:
-            yield from links()
+            yield links(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -197,17 +210,18 @@ def near_hash_groups(hashes: DataFrame, max_distance: int) -> DataFrame:
     leaves it is linear in its members however close they lie.
     """
     keys = _bucket_keys(hashes, _block_masks(max_distance))
-    sizes = keys.groupBy("mask_no", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("mask_no", "key", F.ceil(F.col("n") * 2 / TILE_ROWS).alias("chunks"), (F.col("n") > TILE_ROWS).alias("large"))
-    counted = lookup_join(keys, sizes, ["mask_no", "key"], "inner", salt_by=["bits"])
-    counted = counted.withColumn("chunks", F.when(F.col("large"), F.col("chunks")).otherwise(1))
+    # Only buckets of more than one tile are looked up: few, as each has very many of the hashes.
+    large = keys.groupBy("mask_no", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
+    large = written(large.select("mask_no", "key", F.ceil(F.col("n") * 2 / TILE_ROWS).alias("chunks")), "large-buckets")
+    counted = lookup_join(keys, large, ["mask_no", "key"], "left", salt_by=["bits"])
+    counted = counted.withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
     chunk = F.pmod(F.xxhash64("bits"), "chunks")
     tiled = counted.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     tile = F.xxhash64("mask_no", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
     dealt = tiled.select(tile.alias("tile"), "bits").repartition("tile").sortWithinPartitions("tile", "bits")
     # Two tiles of one hash would only be compared with each other's members as well.
     linked = components(dealt.mapInArrow(_tile_links(max_distance), "a long, b long"))
-    out = hashes.join(linked.withColumnRenamed("node", "bits"), "bits", "left")
+    out = large_join(hashes, linked.withColumnRenamed("node", "bits"), "bits", "left")
     return out.select("bits", F.coalesce("root", "bits").alias("root"))
 
 
@@ -221,7 +235,7 @@ def near_duplicate_groups(items: DataFrame, max_distance: int = 3, item: str = "
     printed = written(printed.withColumn("bits", hash_bits(F.col("phash"))), "hashes")
     hashes = written(printed.groupBy("bits").agg(F.count("*").alias("n"), F.min(item).alias("first_item")), "hash-groups")
     roots = written(near_hash_groups(hashes.select("bits"), max_distance), "roots")
-    groups = hashes.join(roots, "bits").groupBy("root").agg(
+    groups = large_join(hashes, roots, "bits").groupBy("root").agg(
         F.min("first_item").alias("group_item"), F.sum("n").alias("n_items"), F.count("*").alias("n_hashes")
     )
     of = lookup_join(roots, groups, ["root"], "inner", salt_by=["bits"])

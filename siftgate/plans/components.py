@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftgate.plans.joins import large_join
 from siftgate.plans.scratch import forget, written
 
 
@@ -33,6 +34,22 @@ def spanning_forest(near, n: int, block: int = 256) -> tuple[np.ndarray, np.ndar
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def few_links(keys: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) among the positions of equal keys, which lie side by side; near(i, j) tells for arrays of pairs.
+
+    All groups at once, and all links of each: for groups of a few members.
+    """
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    i = np.arange(len(keys))
+    step = 1
+    while len(i := i[i + step < len(keys)]) and len(i := i[keys[i] == keys[i + step]]):
+        hit = near(i, i + step)
+        left.append(i[hit])
+        right.append(i[hit] + step)
+        step += 1
+    return np.concatenate(left), np.concatenate(right)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, root) for all linked nodes: root is the smallest node that a node reaches.
 
@@ -54,8 +71,8 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         seen = mark
         both = now.union(now.select("b", "a"))
-        larger = both.join(around(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-        pulled = larger.join(around(larger), "a")
+        larger = large_join(both, around(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        pulled = large_join(larger, around(larger), "a")
         every = pulled.select("a", F.col("least").alias("b")).union(pulled.select("b", "least"))
         old, now = now, written(sorted_pairs(every), "links")
         forget(old)

@@ -233,3 +233,28 @@ def test_near_duplicate_groups_of_items(spark):
     got = duplicates.near_duplicate_groups(spark.createDataFrame(rows, "item_id string, content binary"), 0)
     found = {r.item_id: (r.group_item, r.n_items, r.n_hashes) for r in got.collect()}
     assert found["a"] == found["b"] == ("a", 2, 1) and "c" not in found and len(found) == 5
+
+
+def test_tables_that_grow_with_the_items_are_not_broadcast(spark):
+    """A million hashes weigh little as files, but not in a driver's hash table."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = [(str(i), bytes([i]) * 70 + bytes([255 - i]) * i) for i in range(100)]
+    items = spark.createDataFrame(rows, "item_id string, content binary")
+    assert "BroadcastHashJoin" not in plan(near_duplicates(items))
+    hashes = spark.createDataFrame([(i,) for i in range(100)], "bits long")
+    assert "BroadcastHashJoin" not in plan(duplicates.near_hash_groups(hashes, 1))
+
+
+def test_tiles_cut_between_batches_give_all_links():
+    """Few and many members per tile, over batches that end inside of tiles."""
+    sizes = [1, 2, 17, 3, 1, 40, 16]
+    tile = [t for t, n in enumerate(sizes) for _ in range(n)]
+    bits = [(t << 40) | (i << 8) for t, n in enumerate(sizes) for i in range(n)]
+    table = pa.table({"tile": pa.array(tile, pa.int64()), "bits": pa.array(bits, pa.int64())})
+    for step in (1, 5, 100):
+        out = [b for b in duplicates._tile_links(64)(iter(table.to_batches(step)))]
+        links = {(a, b) for r in out for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist())}
+        assert all(a >> 40 == b >> 40 for a, b in links)
+        assert {x for pair in links for x in pair} == {b for b, t in zip(bits, tile) if sizes[t] > 1}
