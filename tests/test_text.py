@@ -228,3 +228,16 @@ def test_wordlist_tables(spark):
     terms = [r.word for r in wordlist_terms(valid).collect()]
     assert terms[0] == "618" and terms[-1] == "最优"
     assert {r.category: r.n for r in wordlist_category_counts(valid).collect()} == {"a": 2, "b": 1}
+
+
+def test_a_search_holds_the_hits_of_a_chunk_only():
+    """Four million bytes with a hit at nearly every one: work arrays and hits of all would be hundreds of MB."""
+    import tracemalloc
+
+    table = grams.GramTable(["a", "b", "ab", "ba", "abab"])
+    array = pa.array(["ab" * 1000] * 2000)
+    tracemalloc.start()
+    row, pattern, place = table.firsts(array)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == 5 * 2000 and set(place.tolist()) == {0, 1} and peak < 100_000_000
