@@ -15,7 +15,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftgate.llm import bpe, mixing, pii, quality, secret_scan, simhash, suffix_dedup
+from siftgate.llm import bpe, jaccard, mixing, pii, quality, secret_scan, simhash, suffix_dedup
 from siftgate.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -356,3 +356,9 @@ def test_secrets_are_masked(odd, empty):
     got = {r.doc_id: r for r in secret_scan.redact_secrets(odd).collect()}
     assert got[9].text == "é日本😀 [SECRET] x@mail.example.com 10.0.0.1" and got[1].text is None and list(got[9].asDict()) == odd.columns
     assert secret_scan.redact_secrets(empty).count() == 0
+
+
+def test_near_duplicate_stage_links_fingerprints_first(spark):
+    """Sets within few bits of a fingerprint are candidates by the vantage-point trees, without a shared prefix shingle."""
+    reps = spark.createDataFrame([(1, 0b0), (2, 0b1111), (3, 0b11111111), (4, -1), (5, 0b0)], "key long, fp long")
+    assert {tuple(r) for r in jaccard._fingerprint_pairs(reps).collect()} == {(1, 2), (1, 3), (1, 5)}
