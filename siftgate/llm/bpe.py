@@ -273,8 +273,8 @@ def load(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], dict[str,
 _built: dict[str, Automaton] = {}
 
 
-def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """(encode, decode) column functions: text to packed ids, packed ids to text.
+def _automaton(spark: SparkSession, path: str) -> Callable[[], Automaton]:
+    """The file's automaton, for tasks to ask for.
 
     The driver reads the file; tasks get its tables by broadcast, their size that of the vocabulary.
     """
@@ -285,6 +285,17 @@ def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], C
             _built[path] = Automaton(*tables.value)
         return _built[path]
 
+    return automaton
+
+
+def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """(encode, decode) column functions: text to packed ids, packed ids to text.
+
+    A plan that returns both the ids and their text would encode twice, as Spark evaluates
+    decode(encode(text)) beside encode(text): round_trip() is for that.
+    """
+    automaton = _automaton(spark, path)
+
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         a = automaton()
@@ -296,3 +307,17 @@ def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], C
         return pa.array([a.decode(v.as_py() or b"") for v in ids], pa.string())
 
     return encode, decode
+
+
+def round_trip(spark: SparkSession, path: str) -> Callable[[Column], Column]:
+    """Column function: text to a struct of its packed ids and the text they decode to, each made once."""
+    automaton = _automaton(spark, path)
+
+    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        a = automaton()
+        ids = [a.encode(t.as_py() or "") for t in texts]
+        decoded = pa.array(map(a.decode, ids), pa.string())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    return both

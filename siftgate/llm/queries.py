@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftgate.llm import pii, sql
 from siftgate.llm.ann import nearest
-from siftgate.llm.bpe import codec
+from siftgate.llm.bpe import round_trip
 from siftgate.llm.embed_dedup import near_duplicates as embed_near_duplicates
 from siftgate.llm.hard_negatives import hard_negatives
 from siftgate.llm.html_text import main_text
@@ -33,9 +33,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    encode, decode = codec(spark, path or public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded")).select(
+    both = round_trip(spark, path or public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", both(F.col("text")).alias("both"))
+    return encoded.select("doc_id", "both.*").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

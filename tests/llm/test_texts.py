@@ -314,6 +314,25 @@ def test_bpe_odd_rows(spark, odd, empty):
     got = odd.select("text", encode(F.col("text")).alias("ids")).withColumn("back", decode(F.col("ids"))).collect()
     assert all(r.back == (r.text or "") for r in got)
     assert empty.select(encode(F.col("text"))).count() == 0
+    both = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    pairs = odd.select(both(F.col("text")).alias("b")).select("b.*").collect()
+    assert [(r.ids, r.decoded) for r in pairs] == [(r.ids, r.back) for r in got]
+    assert empty.select(both(F.col("text"))).count() == 0
+
+
+def test_bpe_query_encodes_each_text_once(spark, documents):
+    """The ids are returned and decoded: the plan once had encode(text) and decode(encode(text))."""
+    out = QUERIES["op8_bpe"](spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\w+\(text#\d+", plan)) == 1
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    expected = []
+    for r in documents.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False).encode()
+        expected.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
 
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
