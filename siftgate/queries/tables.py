@@ -9,6 +9,7 @@ from siftgate.queries.base import SQL_BLOCKLIST, blocklist, query, seeds, table
 from siftgate.sources.blocklist import blocklist_counts, load_blocklist
 from siftgate.sources.image_heads import write_files
 from siftgate.sources.items import read_items
+from siftgate.sources.tables import spread
 from siftgate.sources.wordlist import validate_wordlist, wordlist_category_counts, wordlist_terms
 
 
@@ -75,7 +76,8 @@ def read_items_query(spark, sf_dir):
     """Pages as one file each in the shared folder, read back as items."""
     folder = scratch_path(spark, "pages")
     name = F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name")
-    write_files(table(spark, sf_dir, "pages").select(name, F.col("html").cast("binary").alias("content")), folder)
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    write_files(pages.select(name, F.col("html").cast("binary").alias("content")), folder)
     found = read_items(spark, folder)
     item = F.regexp_extract("item_id", "([0-9]+)\\.html$", 1).alias("item_id")
     return found.select(item, F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("md5"))

@@ -3,6 +3,8 @@
 A data source that plans files as partitions, drops files by pushed-down filters on path
 and size before any is opened, and reads small byte ranges of a file until its header
 is known: a PNG's first bytes, a JPEG's markers from segment to segment without what lies between.
+The driver lists folders level by level until it has plannedFiles files; folders it has not
+listed by then are listed by tasks, so its work and memory have a bound if no folder is large.
 Files are reached through Arrow's file systems (local folders and mounts, hdfs, s3, gs).
 """
 
@@ -10,8 +12,10 @@ from __future__ import annotations
 
 import fnmatch
 import uuid
+from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,6 +42,8 @@ from pyspark.sql.types import StructType
 COLUMNS = "path string, size long, format string, width long, height long, bytes_read long"
 NAME = "image_heads"
 PARTITION_FILES = 1_000
+PLANNED_FILES = 50_000
+FOLDER_PARTITIONS = 10_000
 RANGE = 4_096
 _PNG, _JPEG = b"\x89PNG", b"\xff\xd8"
 
@@ -90,8 +96,10 @@ def head_facts(head: Head) -> tuple[str, int, int]:
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
-    sizes: list[int]
+    """Files listed by the driver, or folders that a task lists to their leaves."""
+
+    files: list[tuple[str, int]]
+    folders: list[str]
 
 
 _TESTS = {
@@ -120,9 +128,14 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = opened(self.folder)
         fs.create_dir(base, recursive=True)
+        made = {base}
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
-                draft = f"{base}/.{uuid.uuid4().hex}"
+                parent = f"{base}/{name}".rpartition("/")[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                draft = f"{parent}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(draft, compression=None) as out:
                     out.write(content.as_buffer() if content.is_valid else b"")
                 fs.move(draft, f"{base}/{name}")
@@ -141,26 +154,46 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
+    def listed(self, fs: pafs.FileSystem, pending: deque[str]) -> Iterator[list[tuple[str, int]]]:
+        """The wanted files (path, size) of each pending folder; a folder's folders become pending when it is taken."""
+        glob = self.options.get("pathglobfilter", "*")
+        while pending:
+            found = []
+            for info in fs.get_file_info(pafs.FileSelector(pending.popleft())):
+                if info.type == pafs.FileType.Directory:
+                    pending.append(info.path)
+                hidden = info.base_name.startswith(("_", "."))
+                if info.is_file and not hidden and fnmatch.fnmatch(info.base_name, glob):
+                    values = {"path": info.path, "size": info.size}
+                    if all(_TESTS[kind](values[name], value) for kind, name, value in self.filters):
+                        found.append((info.path, info.size))
+            yield sorted(found)
+
     def partitions(self) -> Sequence[Files]:
         fs, base = opened(self.options["path"])
-        glob = self.options.get("pathglobfilter", "*")
-        found = []
-        for info in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
-            hidden = info.base_name.startswith(("_", "."))
-            if info.is_file and not hidden and fnmatch.fnmatch(info.base_name, glob):
-                values = {"path": info.path, "size": info.size}
-                if all(_TESTS[kind](values[name], value) for kind, name, value in self.filters):
-                    found.append((info.path, info.size))
+        limit, found, pending = int(self.options.get("plannedfiles", PLANNED_FILES)), [], deque([base])
+        for files in self.listed(fs, pending):
+            found += files
+            if len(found) >= limit:
+                break
         found.sort()
-        n = int(self.options.get("partitionfiles", PARTITION_FILES))
-        cut = [found[i : i + n] for i in range(0, len(found), n)]
-        return [Files([p for p, _ in part], [s for _, s in part]) for part in cut] or [Files([], [])]
+        n, m = int(self.options.get("partitionfiles", PARTITION_FILES)), -(-len(pending) // FOLDER_PARTITIONS) or 1
+        parts = [Files(list(part), []) for part in batched(found, n)]
+        parts += [Files([], list(part)) for part in batched(pending, m)]
+        return parts or [Files([], [])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.options["path"])
+        n = int(self.options.get("partitionfiles", PARTITION_FILES))
+        yield self.facts(fs, partition.files)
+        for files in self.listed(fs, deque(partition.folders)):
+            for part in batched(files, n):
+                yield self.facts(fs, part)
+
+    def facts(self, fs: pafs.FileSystem, files: Sequence[tuple[str, int]]) -> pa.RecordBatch:
         rows: dict[str, list] = {name: [] for name in ("path", "size", "format", "width", "height", "bytes_read")}
         opens = not {"format", "width", "height", "bytes_read"}.isdisjoint(self.names)
-        for path, size in zip(partition.paths, partition.sizes):
+        for path, size in files:
             facts, read = ("unknown", 0, 0), 0
             if opens:
                 with fs.open_input_file(path) as file:
@@ -170,11 +203,12 @@ class Reader(DataSourceReader):
                 rows[name].append(value)
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         columns = {name: pa.array(values, kind) for (name, values), kind in zip(rows.items(), kinds)}
-        yield pa.RecordBatch.from_arrays([columns[name] for name in self.names], self.names)
+        return pa.RecordBatch.from_arrays([columns[name] for name in self.names], self.names)
 
 
 class ImageHeads(DataSource):
-    """Options: path (a folder, searched to its leaves), pathGlobFilter, partitionFiles."""
+    """Options: path (a folder, searched to its leaves), pathGlobFilter, partitionFiles (files per task of those
+    that the driver lists), plannedFiles (after so many the driver leaves further folders to tasks)."""
 
     @classmethod
     def name(cls) -> str:
@@ -191,7 +225,10 @@ class ImageHeads(DataSource):
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write rows (name, content) as files of a folder; names are plain and distinct."""
+    """Write rows (name, content) as files of a folder; names are plain or have folders before them, and distinct.
+
+    One task writes one partition's files, and a flat folder of millions is listed by one reader: deal
+    small rows to partitions before they get their bytes, and put some thousand files in a folder each."""
     files.sparkSession.dataSource.register(ImageHeads)
     files.select("name", F.col("content").cast("binary").alias("content")).write.format(NAME).mode("append").option("path", folder).save()
 

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgate.operators.images import image_inventory
+from siftgate.queries import QUERIES, bytes_, tables
 from siftgate.sources import audit_sink
 from siftgate.sources.audit_sink import append_audit, read_committed_audit, stream_append_audit
-from siftgate.sources.image_heads import file_inventory, read_image_heads, write_files
+from siftgate.sources.image_heads import Reader, file_inventory, read_image_heads, write_files
 from siftgate.sources.items import read_items
 from siftgate.streaming.jobs import file_stream
 
@@ -63,6 +64,32 @@ def test_filters_drop_files_before_they_are_opened(spark, folder):
     assert one.count() == 1
 
 
+def test_folders_beyond_the_planned_files_are_listed_by_tasks(spark, tmp_path):
+    names = [f"{i % 7}/{i % 2}/{i}.png" for i in range(40)] + ["top.png"]
+    files = spark.createDataFrame([(n, bytearray(png(i + 1, 5, i))) for i, n in enumerate(names)], "name string, content binary")
+    path = str(tmp_path / "in")
+    write_files(files.repartition(4), path)
+    found = sorted(map(tuple, read_image_heads(spark, path).collect()))
+    assert [r[0] for r in found] == sorted(f"{path}/{n}" for n in names) and {r[3] for r in found} == set(range(1, 42))
+    for limit in ("0", "1", "2", "9"):
+        few = read_image_heads(spark, path, plannedFiles=limit, partitionFiles="2")
+        assert sorted(map(tuple, few.collect())) == found
+        large = read_image_heads(spark, path, ("path", "size"), plannedFiles=limit).where("size > 60")
+        assert sorted(map(tuple, large.collect())) == [r[:2] for r in found if r[1] > 60]
+        assert read_image_heads(spark, path, plannedFiles=limit, pathGlobFilter="*1.png").count() == 4
+    reader = Reader({"path": path, "plannedFiles": "1"}, few.schema)
+    parts = reader.partitions()
+    assert sum(len(p.files) for p in parts) == 1 and sorted(f for p in parts for f in p.folders) == [f"{path}/{i}" for i in range(7)]
+
+
+@pytest.mark.parametrize(("module", "name"), [(bytes_, "image_heads"), (tables, "read_items")])
+def test_queries_write_files_in_as_many_tasks_as_cores(spark, monkeypatch, module, name):
+    written = []
+    monkeypatch.setattr(module, "write_files", lambda files, folder: (written.append(files), write_files(files, folder)))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert written[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
 AUDIT = "item_id string, agent string, score double, reason string"
 
 
