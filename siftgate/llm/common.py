@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftgate.plans.joins import large_join
 from siftgate.plans.scratch import forget, written
 
+# Links that one task joins at once: with their sort some 50 MB.
+FEW_LINKS = 500_000
+
 
 def longs(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     column = table.column(name)
@@ -164,26 +168,42 @@ class Forest:
         return node, self.root[node]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root): the smallest node that each linked node reaches, roots included.
+def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) that come, at once, to (node, root); callers bound their number."""
+    links = pa.Table.from_batches(list(batches))
+    node, at = np.unique(np.concatenate([longs(links, "a"), longs(links, "b")]), return_inverse=True)
+    forest = Forest(len(node))
+    forest.join(at[: links.num_rows], at[links.num_rows :])
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[forest.root])], ["node", "root"])
 
-    Large stars and small stars in turn, until nothing moves. Each round hangs nodes on
-    their smallest neighbour with a partial minimum per node, so a node with very many
-    links is no hot group. Rounds are written to the shared folder, so a lost executor
-    costs no earlier round. Nulls and loops are ignored; no links give no rows.
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) links of longs to (node, root): the smallest node that each linked node reaches, roots included.
+
+    Up to FEW_LINKS links are joined by one task. A round of joins would cost the driver a
+    plan of many stages for them, with its broadcasts, metrics and threads, and most rounds
+    have few links. More links take rounds: large stars and small stars in turn, until nothing
+    moves or few links are left. Each round hangs nodes on their smallest neighbour with a
+    partial minimum per node, so a node with very many links is no hot group, and no join
+    sends a table through the driver. Rounds are written to the shared folder, so a lost
+    executor costs no earlier round. Nulls and loops are ignored; no links give no rows.
     """
     a, b = F.col("a"), F.col("b")
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     before = None
     while True:
         state = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
+        if 0 < state[0] <= FEW_LINKS:
+            out = written(now.coalesce(1).mapInArrow(_roots, "node long, root long"), "roots")
+            forget(now)
+            return out
         if state == before or not state[0]:
             return now.union(now.select("b", "b").distinct()).toDF("node", "root")
         before = state
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = large_join(both, low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = large_join(large, least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e"))
         old, now = now, written(small.select("e.*").where(a != b).distinct(), "links")
         forget(old)

@@ -15,7 +15,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftgate.llm import bpe, jaccard, mixing, pii, quality, secret_scan, simhash, suffix_dedup
+from siftgate.llm import bpe, common, jaccard, mixing, pii, quality, secret_scan, simhash, suffix_dedup
 from siftgate.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +97,28 @@ def test_simhash_links_chains_and_large_shards(spark, monkeypatch):
     assert len({r.root for r in got}) == 1 and len(got) == len(set(values))
 
 
+@pytest.mark.parametrize("few", [common.FEW_LINKS, 40, 0])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, few):
+    """Few links take no rounds of joins, whose plans and broadcasts fill the driver; both ways find the same."""
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    rng = random.Random(4)
+    name = [rng.randrange(-(2**62), 2**62) for _ in range(160)]
+    links = [(name[i], name[i + 1]) for i in range(59)] + [(name[60], name[i]) for i in range(61, 120)]
+    links += [(name[i], name[i + 1]) for i in range(120, 158, 2)] + links[:9]
+    rng.shuffle(links)
+    links = [rng.choice([x, x[::-1]]) for x in links] + [(name[159], name[159]), (None, name[0]), (name[0], None)]
+    pairs = {frozenset(x) for x in links if None not in x}
+    spark.sparkContext.setJobGroup(f"components-{few}", "")
+    try:
+        got = common.components(spark.createDataFrame(links, "a long, b long").repartition(6))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}"))
+    expected = components(set(name[:158]), lambda x, y: frozenset((x, y)) in pairs)
+    assert sorted(map(tuple, got.collect())) == sorted((k, r) for k, r in expected.items())
+    assert jobs <= 6 if few > 40 else jobs > 6
+
+
 def test_simhash_odd_rows(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
