@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -80,3 +81,94 @@ def test_cells_come_by_falling_bound_and_hold_all_rows():
     assert read < len(seen)  # certified before the last cell
     order = sorted((-int(s), i) for i, s in enumerate(hn.products(x, a)) if i != 7)[:5]
     assert [(-s, i) for s, i in zip(best.score.tolist(), best.id.tolist())] == order
+
+
+def isotropic(n, dim=24, seed=5):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_anchors_meet_cells_in_blocks(monkeypatch):
+    """Where nothing is passed over, a task makes no product per anchor and cell."""
+    x = isotropic(600)
+    rows = [{"id": i, "label": i % 4, "v": v.tolist(), "dim": 24, "part": 0, "block": 0, "shard": i % 3, "q": 0, "positives": None, "scores": None} for i, v in enumerate(x)]
+    asked = [{**r, "shard": -1, "q": 1} for r in rows if r["id"] % 20 == 0]
+    scaled = np.floor(256 * x.astype(float))
+    books = {24: (hn.codebook(scaled[:, :12]), hn.codebook(scaled[:, 12:]))}
+    types = [(c, pa.list_(pa.float32()) if c == "v" else pa.list_(pa.int64()) if c in ("positives", "scores") else pa.int64()) for c in rows[0]]
+
+    def found(asked, k, mining):
+        table = pa.Table.from_pylist(asked + sorted(rows, key=lambda r: r["shard"]), pa.schema(types))
+        return pa.Table.from_batches(hn._task(books, 256, k, 30, 90, mining)(table.to_batches(100))).to_pylist()
+
+    calls = []
+    for name in ("search", "products"):
+        monkeypatch.setattr(hn, name, lambda *a, of=getattr(hn, name): calls.append(1) or of(*a))
+    near = found(asked, 5, False)
+    for a in asked:
+        own = [r for r in near if r["anchor_id"] == a["id"]]
+        a["positives"], a["scores"] = [r["positive_id"] for r in own], [r["positive_score"] for r in own]
+    out, rank = [], {}
+    for r in found(asked, 10, True):
+        key = (r["anchor_id"], r["positive_id"])
+        rank[key] = rank.get(key, 0) + 1
+        out.append((*key, rank[key], r["negative_id"], r["positive_score"], r["negative_score"]))
+    assert sorted(out) == brute_force([(r["id"], r["v"], r["label"]) for r in rows])
+    assert not calls
+
+
+def test_parts_do_not_grow_with_the_rows(spark, monkeypatch):
+    """An anchor goes to PARTS tasks at most, and gets as many lists, whatever the number of shards."""
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(isotropic(800))]
+    monkeypatch.setattr(hn, "SHARD_ROWS", 8)
+    monkeypatch.setattr(hn, "PARTS", 2)
+    returned = spark.sparkContext.accumulator(0)
+
+    def counted(*args, task=hn._task):
+        def run(batches):
+            for batch in task(*args)(batches):
+                returned.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(hn, "_task", counted)
+    got = hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 20 == 0, F.col("label"))
+    assert sorted(tuple(r) for r in got.collect()) == brute_force(rows)
+    assert 0 < returned.value <= 40 * 2 * (5 + 5 * 10)
+
+
+@pytest.mark.parametrize("tile", [1 << 19, 50])
+def test_ties_and_scores_beyond_doubles_share_a_block(spark, monkeypatch, tile):
+    """Anchors that need whole numbers beyond doubles, and many equal scores, beside plain ones."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-3, 4, 3).astype(float).tolist(), int(rng.integers(3))) for i in range(300)]
+    rows += [(400 + i, [1.0, 1.0, 1.0], i % 3) for i in range(100)]
+    rows += [(600 + i, [(1 + i) * 1e7, -1e6 * i, 1.0], i % 3) for i in range(60)]
+    rows += [(700 + i, [1e30 * (i % 5), 1e29 * i, -1.0], i % 3) for i in range(40)]
+    rows = [(i, np.float32(v).tolist(), label) for i, v, label in rows]
+    monkeypatch.setattr(hn, "SHARD_ROWS", 64)
+    monkeypatch.setattr(hn, "RUN", 2)
+    monkeypatch.setattr(hn, "TILE", tile)
+    got = hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 20 == 0, F.col("label"))
+    assert sorted(tuple(r) for r in got.collect()) == brute_force(rows)
+
+
+@pytest.mark.parametrize("tile", [1 << 19, 7])
+def test_block_equals_single_searches(monkeypatch, tile):
+    monkeypatch.setattr(hn, "TILE", tile)
+    rng = np.random.default_rng(7)
+    x = np.floor(256 * np.concatenate([isotropic(200), np.repeat(isotropic(4, seed=8), 25, axis=0)]))
+    x[::50] *= 1e8
+    ids, labels = rng.permutation(len(x)), rng.integers(0, 3, len(x))
+    a, own, label = x[::3], ids[::3], labels[::3]
+    lo, hi = np.sort(rng.integers(-20_000, 60_000, (2, len(a), 4)), axis=0)
+    lo[::5, 1], hi[::5, 1] = hn.LONG.max, hn.LONG.min
+    windows, single = hn.Windows(6, lo, hi), [[hn.Best(6, int(p), int(q)) for p, q in zip(*w)] for w in zip(lo, hi)]
+    for part in (slice(0, 150), slice(150, None)):
+        cells = hn.Cells(x[part], ids[part], labels[part], (hn.codebook(x[:, :12]), hn.codebook(x[:, 12:])))
+        hn.search_block(cells, a, own, label, False, windows)
+        for i, found in enumerate(single):
+            hn.search(cells, a[i], own[i], lambda v: v != label[i], found)
+    for i, found in enumerate(single):
+        assert [(w.score.tolist(), w.id.tolist()) for w in windows.one(i)] == [(w.score.tolist(), w.id.tolist()) for w in found]
