@@ -153,19 +153,18 @@ class Sequences:
             self.floors.append(np.take_along_axis(center - spread - slack, order, 1))
             self.orders.append(used[order])
         self.width = len(cells.books[1])
-        # Of each code of the first list, the code of the second that comes next; past its end the bound is -inf.
+        # Of each code of the first list, the code of the second that comes next and their bound, past the end -inf.
         self.at = np.zeros(self.tops[0].shape, np.int64)
         self.tops[1] = np.pad(self.tops[1], ((0, 0), (0, 1)), constant_values=-np.inf)
-        self.floors[1], self.orders[1] = (np.pad(v, ((0, 0), (0, 1))) for v in (self.floors[1], self.orders[1]))
+        self.sums = self.tops[0] + self.tops[1][:, :1]
 
     def next(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(most, least, cell) of these anchors; most is -inf if there are no more cells."""
-        sums = self.tops[0][who] + np.take_along_axis(self.tops[1][who], self.at[who], 1)
-        i = sums.argmax(axis=1)
-        j = self.at[who, i]
-        self.at[who, i] = np.minimum(j + 1, self.tops[1].shape[1] - 1)
-        cell = self.orders[0][who, i] * self.width + self.orders[1][who, j]
-        return sums[np.arange(len(who)), i], self.floors[0][who, i] + self.floors[1][who, j], cell
+        i = self.sums[who].argmax(axis=1)
+        j = np.minimum(self.at[who, i], self.floors[1].shape[1] - 1)
+        most, least = self.sums[who, i], self.floors[0][who, i] + self.floors[1][who, j]
+        self.at[who, i], self.sums[who, i] = j + 1, self.tops[0][who, i] + self.tops[1][who, j + 1]
+        return most, least, self.orders[0][who, i] * self.width + self.orders[1][who, j]
 
 
 class Best:
@@ -273,7 +272,7 @@ def search_block(cells: Cells, a: np.ndarray, own: np.ndarray, label: np.ndarray
             m = anchors[s : s + step]
             score = b[m] @ x[rows].T
             least = np.clip(windows.need[m].min(axis=1), -edge, edge).astype(kind)
-            i, j = np.nonzero(score >= least[:, None])
+            i, j = np.divmod(np.flatnonzero(score >= least[:, None]), score.shape[1])
             ids = cells.ids[rows][j]
             good = ((cells.labels[rows][j] == label[m[i]]) == same) & (ids != own[m[i]])
             yield m[i[good]], score[i[good], j[good]].astype(np.int64), ids[good]
